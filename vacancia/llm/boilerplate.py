@@ -3,7 +3,7 @@
 Method: maximum-scoring subsequences. Words and tags have weights, words of content positive, tags of
 menus, notices and footers negative, learned from pages whose blocks carry telling names. A linear scan
 finds the contiguous regions with the best total, where opening a region has a price; with a price above
-all gains that is the single best region. In a page's HTML, regions end at the borders of blocks.
+all gains that is the single best region. Where a page's HTML has blocks, a block is in or out as a whole.
 """
 
 from __future__ import annotations
@@ -89,11 +89,17 @@ class Scorer:
     def page(self, rows, scores) -> list[int]:
         """Line numbers outside the best regions of a page."""
         total: dict[int, float] = {}
-        for (_, _, block, names, tags), s in zip(rows, scores, strict=True):
-            if block not in total:
-                total[block] = sum(self.tags.get(p, 0.0) for p in dict.fromkeys(names.split()))
-            total[block] += s + sum(self.tags.get("<" + t, 0.0) for t in set(tags))
-        return [r[0] for r in rows if total[r[2]] < 0]
+        loose: list[tuple[int, float]] = []
+        for (no, _, block, names, tags), s in zip(rows, scores, strict=True):
+            s += sum(self.tags.get("<" + t, 0.0) for t in set(tags))
+            if not names:
+                loose.append((no, s))
+            elif block in total:
+                total[block] += s
+            else:
+                total[block] = s + sum(self.tags.get(p, 0.0) for p in dict.fromkeys(names.split()))
+        inside = dict(zip([x[0] for x in loose], regions(np.array([x[1] for x in loose]), PRICE).tolist(), strict=True))
+        return [r[0] for r in rows if (total[r[2]] < 0 if r[3] else not inside[r[0]])]
 
 
 def regions(scores: np.ndarray, price: float) -> np.ndarray:
