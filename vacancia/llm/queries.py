@@ -26,6 +26,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue(rows, fit(rows))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from .names import name_links
+
+    return name_links(table(spark, d, "postings"), table(spark, d, "parsed_postings"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from .canonical import map_postings
+
+    return map_postings(table(spark, d, "postings"), table(spark, d, "ref_values"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from .tokens import encode
 
@@ -44,7 +56,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p6_found, p8_ids, p8_decoded, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded, p9_containers)}
 
 SQL = {
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
