@@ -13,6 +13,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(table(spark, d, "postings"), "id", "top_skills", 0.6)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from .survivor import job_survivors
+
+    return job_survivors(table(spark, d, "postings"), table(spark, d, "posting_sources"), table(spark, d, "posting_canonical_links"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .boilerplate import boilerplate_lines
 
@@ -56,8 +62,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded, p9_containers)}
 
 SQL = {
+    "p2_found": """
+WITH m AS (SELECT DISTINCT canonical_id, CAST(posting_id AS BIGINT) AS posting_id FROM posting_canonical_links),
+g AS (SELECT canonical_id FROM m GROUP BY canonical_id HAVING count(*) > 1),
+p AS (SELECT m.canonical_id, m.posting_id, row_number() OVER (PARTITION BY m.canonical_id ORDER BY
+        coalesce(length(replace(replace(replace(replace(full_jd, ' ', ''), chr(9), ''), chr(13), ''), chr(10), '')), 0) DESC, last_seen DESC NULLS LAST, m.posting_id) AS k
+      FROM m JOIN g USING (canonical_id) LEFT JOIN postings ON postings.id = m.posting_id),
+s AS (SELECT m.canonical_id, s.id, row_number() OVER (PARTITION BY m.canonical_id ORDER BY
+        CASE WHEN lower(source) LIKE '%hydrator%' THEN 0 ELSE 1 END, source_first_seen NULLS LAST, s.id) AS k
+      FROM m JOIN g USING (canonical_id) JOIN posting_sources s ON s.posting_id = m.posting_id)
+SELECT p.canonical_id, p.posting_id AS best_posting_id, s.id AS best_source_id
+FROM p LEFT JOIN s ON s.canonical_id = p.canonical_id AND s.k = 1 WHERE p.k = 1""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
