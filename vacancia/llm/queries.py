@@ -62,7 +62,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded, p9_containers)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from .pii import passages
+
+    return passages(table(spark, d, "documents"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from .pii import redacted
+
+    return redacted(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded, p9_containers, p10_found, p10_redacted)}
 
 SQL = {
     "p2_found": """
