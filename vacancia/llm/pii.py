@@ -107,7 +107,7 @@ _PHONE = re.compile(
 _BARE_PHONE = re.compile(r"(?i)(?:tel|tél|phone|call|text|mobile?|móvil|portable|voice mail|reach us on|llama al|rufen sie|appelez le|handy|fax)[.:]{0,2}[ \t]*:?[ \t]*(\d{9,11})(?![\w-])")
 _NOT_PHONE = re.compile(r"(?i)(?:invoice|order no\.?|order|ticket|ref\.?|budget code|coordinates|release|version|pay band|grade|requisition|rechnung|facture|factura|phase|iso)[ \t]*[#:.]?[ \t]*$")
 _ID_LABEL = re.compile(
-    r"(?i)(?<![\w])(?:social insurance|social security|sécurité sociale|seguridad social|sozialversicherungs?(?:nummer|nr)?|sv-?n(?:umme)?r|s\.?i\.?n|s\.?s\.?n|n\.?a\.?s|n\.?i\.?r|n\.?i\.?f|n\.?i\.?e|d\.?n\.?i|nss|n[°º] de sécu\w*|número fiscal|steuer-?(?:id|nummer|nr|identifikationsnummer)|steuer|idnr|tax(?:payer)?(?: id(?:entification)?)?|numéro fiscal|num[ée]ro d[e']\w*(?: sociale| fiscal)?|nº fiscal|passport|passeport|reisepass|pass|passnummer|pasaporte|travel document|document de voyage|documento(?: de \w+)?|reisedokument|identity(?: card| document)?|identidad|national id(?:entity)?|national insurance|id card|personalausweis|ausweis|carte d'identité|pièce d'identité|titre de séjour|identifiant fiscal|número de \w+)"
+    r"(?i)(?<![\w])(?:social insurance|social security|sécurité sociale|seguridad social|sozialversicherungs?(?:nummer|nr)?|sv-?n(?:umme)?r|s\.?i\.?n|s\.?s\.?n|n\.?a\.?s|n\.?i\.?r|n\.?i\.?f|n\.?i\.?e|d\.?n\.?i|nss|n[°º] de sécu\w*|número fiscal|insurance number|número de seguro social|steuer-?(?:id|nummer|nr|identifikationsnummer)|steuer|idnr|tax(?:payer)?(?: id(?:entification)?)?|numéro fiscal|num[ée]ro d[e']\w*(?: sociale| fiscal)?|nº fiscal|passport|passeport|reisepass|pass|passnummer|pasaporte|travel document|document de voyage|documento(?: de \w+)?|reisedokument|identity(?: card| document)?|identidad|national id(?:entity)?|national insurance|id card|personalausweis|ausweis|carte d'identité|pièce d'identité|titre de séjour|identifiant fiscal|número de \w+)"
     r"(?:nummer|-nr)?\.?(?:[ \t]*(?:card|number|no|num|núm|numéro|número|nummer|nr|n°|nº|n\.º|id|#)\.?)*[ \t]*(?:[:=#]|is|ist|lautet|est|es)?[ \t]*(?=[\dA-Za-z])"
 )
 _ID_VALUE = re.compile(

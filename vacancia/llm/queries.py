@@ -32,6 +32,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue(rows, fit(rows))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from .history import rejected
+
+    return rejected(table(spark, d, "seen_urls"), table(spark, d, "postings"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from .names import name_links
 
@@ -74,7 +80,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded, p9_containers, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded, p9_containers, p10_found, p10_redacted)}
 
 SQL = {
     "p2_found": """
