@@ -1,8 +1,8 @@
 """A regularized linear classifier over hashed n-grams of tokens, scored for whole batches with numpy.
 
 Features of a token: the token itself, the pair with the next one, and the shapes of three in a row
-(a shape is `a` for a word, `A` for one in capitals, `0` for digits, else the sign itself). Digits are
-masked. A line break is a token, so first and last words have features of their own.
+(a shape is `a` for a word, `A` for one in capitals, `aaa` for one letter again and again, `0` for digits,
+else the sign itself). Digits are masked. A line break is a token, so first and last words have features of their own.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ class _Codes(dict):
             norm, shape = "0", 2
         elif token[0].isalpha():
             norm, shape = token.lower(), 1 if len(token) > 1 and token.isupper() else 0
+            if len(token) > 2 and norm == norm[0] * len(norm):
+                norm, shape = "aaa", 255
         else:
             norm, shape = token[:4], 3 + zlib.crc32(token[:4].encode()) % 250
         code = zlib.crc32(norm.encode()) << 8 | shape

@@ -83,6 +83,11 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded, p9_containers, p10_found, p10_redacted)}
 
 SQL = {
+    "p1_found": """
+WITH s AS (SELECT id, list_distinct(list_filter(list_transform(list_filter(top_skills, lambda x: x IS NOT NULL), lambda x: lower(trim(x))), lambda x: x <> '')) AS v FROM postings WHERE top_skills IS NOT NULL),
+e AS (SELECT id, len(v) AS n, unnest(v) AS w FROM s),
+c AS (SELECT a.id AS id_a, b.id AS id_b, a.n + b.n AS n, count(*) AS k FROM e a JOIN e b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2, 3)
+SELECT id_a, id_b FROM c WHERE 10 * k >= 6 * (n - k)""",
     "p2_found": """
 WITH m AS (SELECT DISTINCT canonical_id, CAST(posting_id AS BIGINT) AS posting_id FROM posting_canonical_links),
 g AS (SELECT canonical_id FROM m GROUP BY canonical_id HAVING count(*) > 1),

@@ -29,6 +29,8 @@ _CODE = re.compile(r"\W*\d{3}\b")
 ANCHORS = ("{", "[", "*|", "@@", "<", "%", "#", "__", "&lt;", "xxxx", "ipsum", "dolor", "consectetur", "eiusmod", "veniam", "todo", "tbd", "tba", "fixme", "goes here", "placeholder", "blah", "sample text", "dummy text", "test test", "asdf", "qwerty", "undefined", "null", "nan", "none", "n/a", "replace before", "to be filled", "fill in", "wording to", "error", "erreur", "fehler", "oops", "http", "not found", "denied", "gateway", "server", "unavailable", "too many", "forbidden", "introuvable", "refus", "nicht gefunden", "verweigert", "acceso", "no se enc", "anfragen", "requêtes", "solicitudes", "could not", "loading", "just a moment", "gone", "page has", "script", "skripte", "captcha", "human", "traffic", "blocked", "expired", "cookies must", "log in", "robot", "checking")
 #: Tokens in a window, rows the classifier is fitted on, about, and the log odds from which a window counts.
 WINDOW, SAMPLE, LIMIT = 5, 12_000, 0.0
+#: Weight of a window with a phrase against one without.
+POSITIVE = 8.0
 #: Of the training rows' lines without a phrase, one in so many is taken.
 THIN = 5
 #: Descriptions from this length are held for real content by their status.
@@ -134,7 +136,8 @@ def fit(df: DataFrame, sample: int = SAMPLE, host: str | None = None) -> Detecto
     texts, labels, weight = examples(rows)
     if not texts or len(set(labels)) < 2:
         return Detector(Model(np.zeros(1 << 18), -1.0), {})
-    model = train(texts, np.array(labels), np.array(weight))
+    y = np.array(labels)
+    model = train(texts, y, np.array(weight) * np.where(y > 0, POSITIVE, 1.0), rounds=120)
     odds: dict[tuple[str, int], list[int]] = {}
     for text, title, _ in rows:
         odds.setdefault((_title(text, title), _length(text)), [1, 1])[int(any(map(weak_label, text.split("\n"))))] += 1
