@@ -149,6 +149,21 @@ def test_batches_equal_one_pass(spark):
         assert got == expected(rows)
 
 
+def test_hot_groups_are_settled_in_parts(spark):
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(90)]
+    rows = texts(6, 40)
+    for k in range(100, 170):  # near copies of one text, all different
+        t = list(base)
+        for _ in range(3):
+            t[r.randrange(90)] = f"x{r.randrange(999)}"
+        rows.append((k, dt.datetime(2025, 1, 1 + k % 7, r.randint(0, 5)), None, " ".join(t)))
+    df = spark.createDataFrame(rows, "posting_id long, at timestamp_ntz, page string, text string")
+    store = hs.History(spark, hot=12)
+    assert {x["posting_id"] for x in store.accept(df).where("not accepted").collect()} == expected(rows)
+    assert store.batches > 1
+
+
 def test_pages_and_log(spark):
     u = ["https://www.jobquill.example/jobs/view/1000000001", "HTTP://M.JOBQUILL.EXAMPLE/comm/jobs//view/1000000001/?refId=e30ba#top", "https://de.werkpost.example/rc/viewjob?JK=AF3E5AE9575FD178&tk=1", "https://werkpost.example/viewjob/?jk=af3e5ae9575fd178", "nothing"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in u], "url string").select(hs.page_of("url")).collect()]
