@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +29,24 @@ def local_session(cpus: int | str = "*", shuffle: int = 8, memory: str = "8g") -
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, unless their PYTHONPATH has it."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_vacancia_sent", False):
+        return
+    sc._vacancia_sent = True
+    folder = tempfile.mkdtemp(prefix="vacancia-")  # on the driver, which serves the file to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder, "vacancia.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(Path(__file__).parent.rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
