@@ -172,3 +172,21 @@ def test_pages_and_log(spark):
     posts = spark.createDataFrame([(1, "one two three four"), (2, None), (3, "ONE, two three four!")], "id long, full_jd string")
     assert sorted(r[0] for r in hs.rejected(seen, posts).collect()) == [2, 3]
     assert hs.rejected(seen.limit(0), posts).count() == 0
+
+
+def test_edits_spread_over_a_text_hide_no_pair(spark):
+    r = random.Random(3)
+    rows, day = [], dt.datetime(2025, 1, 1)
+    for n in (120, 400, 1000):
+        for step in range(9, 28):  # every step-th word changed: half to four fifths of the shingles are shared
+            base = [f"w{r.randrange(5000)}" for _ in range(n)]
+            for k, name in enumerate(("Anna", "Bert", "Carl")):
+                rows.append((len(rows), day + dt.timedelta(days=k), None, " ".join(name if at % step == k else w for at, w in enumerate(base))))
+    near, store, got = expected(rows), hs.History(spark), set()
+    assert len(near) > 50
+    for k in range(3):
+        part = spark.createDataFrame([x for x in rows if x[1] == day + dt.timedelta(days=k)], "posting_id long, at timestamp_ntz, page string, text string")
+        got |= {x["posting_id"] for x in store.accept(part).where("not accepted").collect()}
+    assert got == near
+    whole = spark.createDataFrame(rows, "posting_id long, at timestamp_ntz, page string, text string")
+    assert {x["posting_id"] for x in hs.History(spark).accept(whole).where("not accepted").collect()} == near
