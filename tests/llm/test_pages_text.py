@@ -98,3 +98,13 @@ def test_redacted_table(spark):
     assert sorted(map(tuple, pii.passages(df).collect())) == [(1, "email", "a@b.example")]
     assert sorted(map(tuple, pii.redacted(df.dropDuplicates(["doc_id"])).collect())) == [(1, "x [EMAIL] y"), (2, None), (3, "")]
     assert pii.passages(df.limit(0)).count() == 0
+
+
+def test_given_names_outside_the_list(spark):
+    assert spans("We spoke with Frau Sabine Kruger today.") == [("name", "Sabine Kruger")]
+    assert spans("Mail kevin.miller@x.example so that Kevin Miller knows.") == [("email", "kevin.miller@x.example"), ("name", "Kevin Miller")]
+    rows = [(1, "Interview with Stefan Holm next week."), (2, "Ms Jennifer Stone and Mr Stefan Brandt came."), (3, "Yesterday Stefan Wagner called."), (4, "Ask for Project Alpha. Ask for Project Beta. The project Project Gamma ended.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.learn(df) == ("Stefan",)
+    assert (3, "name", "Stefan Wagner") in set(map(tuple, pii.passages(df).collect()))
+    assert "Yesterday [NAME] called." in {r["text"] for r in pii.redacted(df).collect()}

@@ -4,15 +4,19 @@ Method: offset-preserving deobfuscation. Transducers bring a text to a plain for
 ordinary spaces, hyphens and digits, no invisible characters, look-alike letters inside Latin words,
 digits spelled in a row, at and dot disguises - and keep for every character where it came from.
 Identifiers are found in the plain form; their spans go back to the source, which stays as it is.
+
+Given names are a fixed list and those learned over all texts from telling places: after a title or a
+lead-in, or where an address in the same text has the name in its local part.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -125,13 +129,21 @@ _ADDRESS = [
 _TYPE_WORD = re.compile(r"(?:Road|Street|Lane|Avenue|Drive|Way|Court|Place|Square|Close|Row|Hill|Walk|Grove)$")
 _PART = r"(?:[OD]'|Mc|Mac)?[^\W\d_a-zà-öø-ÿ](?:[a-zà-öø-ÿß]+|[A-ZÀ-ÖØ-Þ']+)"
 _FAMILY = rf"{_PART}(?:-{_PART})*"
-_GIVEN = "|".join(sorted({unicodedata.normalize("NFC", v) for n in GIVEN for v in (n, n.upper())}, key=len, reverse=True))
-_G = rf"(?:{_GIVEN})(?:-(?:{_GIVEN}))?"
-_NAME = re.compile(rf"(?<![\w@.'+-])(?:(?P<f1>{_FAMILY}),[ ](?:{_G})(?:[ ][A-Z]\.)?(?![\w'@-]|\.\w)|(?P<g2>{_G})(?:[ ][A-Z]\.){{0,2}}[ ](?P<f2>{_FAMILY})(?![\w@]|[.]\w))")
+
+
+@lru_cache(maxsize=4)
+def _named(learned: tuple[str, ...] = ()) -> re.Pattern:
+    """Names with a given name of the list or a learned one."""
+    given = "|".join(sorted({re.escape(unicodedata.normalize("NFC", v)) for n in (*GIVEN, *learned) for v in (n, n.upper())}, key=len, reverse=True))
+    _G = rf"(?:{given})(?:-(?:{given}))?"
+    return re.compile(rf"(?<![\w@.'+-])(?:(?P<f1>{_FAMILY}),[ ](?:{_G})(?:[ ][A-Z]\.)?(?![\w'@-]|\.\w)|(?P<g2>{_G})(?:[ ][A-Z]\.){{0,2}}[ ](?P<f2>{_FAMILY})(?![\w@]|[.]\w))")
+
 _LEAD = r"(?:Interview with|Ask for|Referred by|Thanks again,|Thanks,|Regards,|cc:|Candidate:|Your contact is|Gespräch mit|Entretien avec|Candidature de|Bewerbung von|Gruß,|Grüße,|Un saludo,|Saludos,|Votre contact :|Ansprechperson ist|Tu contacto es|Candidatura de|Entrevista con|After lunch|Cordialement,|Merci,|Contact:|Kontakt:|Contacto:)[ \t]+(?:(?:Mrs?|Ms|Dr|Herr|Frau|Mme|M|Sr|Sra)\.?[ \t]+)?"
 _INITIAL = re.compile(rf"(?:(?<=\n)|(?<=\r)|^|(?<=[.!?:>✅📌•] )|(?<=[-*] )|(?P<lead>{_LEAD}))(?P<n>[^\W\d_a-zà-öø-ÿ]\.(?:[ ]?[A-Z]\.)?[ ](?P<f>{_FAMILY}))(?![\w@-]|\.\w)")
 _LED = re.compile(rf"{_LEAD}(?P<n>(?P<a>{_FAMILY})(?P<sep>,?[ ])(?:[A-Z]\.[ ])?(?P<b>{_FAMILY}))(?![\w@-]|\.\w)")
 _INITIAL_LAST = re.compile(rf"{_LEAD}(?P<n>{_FAMILY},[ ][A-Z]\.)")
+_TITLED = re.compile(rf"(?<![\w.])(?:(?:Mrs?|Ms|Mx|Dr|Prof|Herr|Frau|Mme|Mlle|Sra?|Señora?)\.?|M\.)[ ](?:(?:Dr|Prof)\.[ ])?(?P<n>(?P<a>{_FAMILY})(?P<sep>[ ])(?:[A-Z]\.[ ])?(?P<b>{_FAMILY}))(?![\w@-]|\.\w)")
+_PAIR = re.compile(rf"(?<![\w@.'+-])(?=(?P<n>(?P<a>{_FAMILY})(?P<sep>,?[ ])(?:[A-Z]\.[ ])?(?P<b>{_FAMILY}))(?![\w@-]|\.\w))")
 _FIRM = re.compile(r"[ ](?:[A-Z][\w'-]*[ ])?(?:Staffing|Consulting|Analytics|Systems|Technologies|Engineering|Manufacturing|Logistics|Insurance|Financial|Robotics|Laboratories|Energy|Foods|Media|Health|GmbH|Inc\b|Ltd\b|Corp\b)")
 
 
@@ -173,18 +185,81 @@ def _addresses(t: str):
             yield m.span()
 
 
-def _names(t: str):
-    for m in _NAME.finditer(t):
+def _fold(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if c.isalpha())
+
+
+def _told(t: str):
+    """Names that a title, or the local part of an address in the text, tells: the match, the given name and the family name."""
+    for m in _TITLED.finditer(t):
+        if not ({m["a"].lower(), m["b"].lower()} & NOT_FAMILY or _FIRM.match(t, m.end("n"))):
+            yield m, m["a"], m["b"]
+    locals_ = set()
+    if _MAY["email"].search(t):
+        for a, b in _emails(t):
+            parts = re.split(_DOT + "|[_-]", _AT.split(t[a:b], maxsplit=1)[0], flags=re.I)
+            if len(parts) == 2 and all(len(_fold(x)) > 1 for x in parts):
+                locals_.add(tuple(map(_fold, parts)))
+    if locals_:
+        for m in _PAIR.finditer(t):
+            a, b = _fold(m["a"]), _fold(m["b"])
+            if (a, b) in locals_ or (b, a) in locals_:
+                first = "," not in m["sep"] and (a, b) in locals_
+                yield m, *((m["a"], m["b"]) if first else (m["b"], m["a"]))
+
+
+def evidence(text: str | None) -> set[tuple[str, str]]:
+    """(given name, family name) of the names in telling places of a text."""
+    if not text:
+        return set()
+    t = plain(text).text
+    out = {(g, f) for _, g, f in _told(t)}
+    for m in _LED.finditer(t):
+        if not ({m["a"].lower(), m["b"].lower()} & NOT_FAMILY or _FIRM.match(t, m.end())):
+            out.add((m["b"], m["a"]) if "," in m["sep"] else (m["a"], m["b"]))
+    return {(g.title() if g.isupper() else g, f.title() if f.isupper() else f) for g, f in out if "-" not in g and len(g) > 1}
+
+
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def learn(df: DataFrame, text_col: str = "text") -> tuple[str, ...]:
+    """Given names that stand in telling places of the texts with two family names or more, and nowhere in lower case."""
+
+    def told(batches):
+        for b in batches:
+            pairs = sorted(set().union(*map(evidence, b.column(0).to_pylist())))
+            yield pa.record_batch([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["g", "f"])
+
+    seen = df.select(f"`{text_col}`").mapInArrow(told, "g string, f string").groupBy("g").agg(F.countDistinct("f").alias("n")).where("n > 1")
+    names = {r["g"] for r in seen.collect()} - set(GIVEN)
+    low = {n.lower() for n in names}
+
+    def common(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array(sorted(low.intersection(*[set().union(*(_WORDS.findall(t) for t in b.column(0).to_pylist() if t))])), pa.string())], names=["w"])
+
+    if not names:
+        return ()
+    words = {r["w"] for r in df.select(f"`{text_col}`").mapInArrow(common, "w string").distinct().collect()}
+    return tuple(sorted(n for n in names if n.lower() not in words))
+
+
+def _names(t: str, learned: tuple[str, ...] = ()):
+    named = _named(learned)
+    for m in named.finditer(t):
         f = m["f1"] or m["f2"]
         a, b = m.span()
         if m["f1"] and f.lower() in NOT_FAMILY:
-            again = _NAME.match(t, a + len(f) + 2)
+            again = named.match(t, a + len(f) + 2)
             if again is None or not again["f2"]:
                 continue
             f, (a, b) = again["f2"], again.span()
         if f.lower() in NOT_FAMILY or (m["f2"] and _FIRM.match(t, b)):
             continue
         yield a, b
+    for m, _, _ in _told(t):
+        yield m.span("n")
     for p in (_INITIAL, _LED, _INITIAL_LAST):
         for m in p.finditer(t):
             if p is _INITIAL and (m["f"].lower() in NOT_FAMILY or not m["lead"] and len(m["f"]) < 4) or _FIRM.match(t, m.end()):
@@ -201,7 +276,7 @@ _MAY = {"email": re.compile(r"@|(?i:\bat\b|arobase|arroba|\bät\b|klammeraffe)")
 _FINDERS = {"email": _emails, "id_number": _ids, "phone": _phones, "address": _addresses, "name": _names}
 
 
-def find(text: str | None) -> list[tuple[str, int, int]]:
+def find(text: str | None, learned: tuple[str, ...] = ()) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the passages of a text, in its own characters, in order, without overlaps."""
     if not text:
         return []
@@ -210,17 +285,17 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     for kind, finder in _FINDERS.items():
         if not _MAY[kind].search(t):
             continue
-        for a, b in finder(t):
+        for a, b in finder(t, learned) if kind == "name" else finder(t):
             if b > a and not any(a < y and x < b for _, x, y in taken):
                 taken.append((kind, a, b))
     return sorted(((k, *p.span(a, b, text)) for k, a, b in taken), key=lambda x: x[1:])
 
 
-def redact_text(text: str | None) -> str | None:
+def redact_text(text: str | None, learned: tuple[str, ...] = ()) -> str | None:
     if not text:
         return text
     out, last = [], 0
-    for kind, a, b in sorted(find(text), key=lambda x: x[1]):
+    for kind, a, b in sorted(find(text, learned), key=lambda x: x[1]):
         out += [text[last:a], f"[{kind.upper()}]"]
         last = b
     return "".join([*out, text[last:]])
@@ -232,7 +307,7 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Null and empty texts give no rows, repeated rows none beyond the first, null ids stay null. Texts are
     read whole. An empty table gives no rows; other columns are ignored.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    kind, learned = df.schema[id_col].dataType.simpleString(), learn(df, text_col)
 
     def run(batches):
         for b in batches:
@@ -240,7 +315,7 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 part = b.slice(lo, 1000)
                 at, kinds, values = [], [], []
                 for k, t in enumerate(part.column(1).to_pylist()):
-                    for what, v in dict.fromkeys((w, t[a:e]) for w, a, e in find(t)):
+                    for what, v in dict.fromkeys((w, t[a:e]) for w, a, e in find(t, learned)):
                         at.append(k)
                         kinds.append(what)
                         values.append(v)
@@ -254,10 +329,10 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Null stays null, empty stays empty; everything outside the passages is unchanged.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    kind, learned = df.schema[id_col].dataType.simpleString(), learn(df, text_col)
 
     def run(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([redact_text(t) for t in b.column(1).to_pylist()], pa.string())], names=[id_col, text_col])
+            yield pa.record_batch([b.column(0), pa.array([redact_text(t, learned) for t in b.column(1).to_pylist()], pa.string())], names=[id_col, text_col])
 
     return df.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string")
