@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -66,10 +67,45 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def files(spark: SparkSession, path: str):
+    """The file system of a path and the path, for `exists`, `delete` and `listStatus`."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = files(spark, path)
+    fs.delete(p, True)
+
+
+_cuts: dict[str, SparkSession] = {}
+
+
+def _remove_cuts() -> None:
+    for path, spark in list(_cuts.items()):
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001 - the session is gone, and its folder is the cluster's to clean
+            pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and go on from there; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared folder and go on from there; survives the loss of executors.
+
+    A written table is computed once, where a checkpoint computes its last stage twice. What is cut goes at the end of the process.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if not _cuts:
+        atexit.register(_remove_cuts)
+    _cuts[path] = spark
+    return keep(df, path)
+
+
+def keep(df: DataFrame, path: str) -> DataFrame:
+    """Write `df` to a folder, in place of what is there, and read it."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:
