@@ -108,3 +108,9 @@ def test_given_names_outside_the_list(spark):
     assert pii.learn(df) == ("Stefan",)
     assert (3, "name", "Stefan Wagner") in set(map(tuple, pii.passages(df).collect()))
     assert "Yesterday [NAME] called." in {r["text"] for r in pii.redacted(df).collect()}
+
+
+def test_long_local_parts_are_whole():
+    for n in (100, 119, 121, 130, 500, 3000):
+        local = "a" * n
+        assert spans(f"Mail {local}@example.com or {'b.' * (n // 2)}c@example.com now.") == [("email", f"{local}@example.com"), ("email", f"{'b.' * (n // 2)}c@example.com")]

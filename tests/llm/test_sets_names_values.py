@@ -103,3 +103,26 @@ def test_bk_tree_equals_scan():
     for q, found in zip(asked, got, strict=True):
         assert {tree.entries[k] for _, k in found} == {e for e in tree.entries if canonical.BKTree.metric(q, e) <= 2} if q else True
     assert canonical.slips("ab", "ba") == 1 and canonical.slips("abc", "xyzabc", 2) == 3
+
+
+def test_long_entries_values_and_swaps(spark):
+    r = random.Random(7)
+    long = ["".join(r.choice("abcdefgh") for _ in range(n)) for n in (64, 80, 200)]
+    ref = spark.createDataFrame([(10 + k, "skill", x) for k, x in enumerate(long)] + [(20, "skill", "machine learning operations"), (1, "location", "Port Halden"), (2, "location", "Pointe Halden"), (3, "location", "Porto Belcastro")], "ref_id long, field string, name string")
+    typo = [x[:30] + "z" + x[31:] for x in long]
+    df = spark.createDataFrame([(1, "P. Halden", None, [*typo, "mahcine learnign operations", "x" * 3000]), (2, "P. Belcastro", None, [])], "id long, canonical_location string, seniority_band string, top_skills array<string>")
+    want = sorted([(1, "skill", 1, 10), (1, "skill", 2, 11), (1, "skill", 3, 12), (1, "skill", 4, 20), (1, "skill", 5, -1), (1, "location", 0, -1), (2, "location", 0, 3)])
+    for shard in (1, 2, 3, 20_000):
+        assert sorted(map(tuple, canonical.map_postings(df, ref, shard=shard).collect())) == want, shard
+
+
+@given(st.text("abc", max_size=12), st.text("abc", max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    assert canonical.levenshtein(a, b) == row[-1]

@@ -54,6 +54,17 @@ def test_best_fit():
     assert apart[0] != apart[2] and apart[1] != apart[3] and len(set(apart)) == 2
 
 
+def test_best_fit_looks_at_every_bin():
+    # twenty bins of one residual hold the source, the one that doesn't lies below them
+    sizes = np.array([60] * 22 + [10])
+    sources = np.array([2] + [1] * 21 + [1])
+    bins = packing.best_fit(sizes, sources, np.arange(23), 100)
+    assert bins[22] == bins[0]
+    r = np.random.default_rng(5)
+    rare = packing.best_fit(np.full(400, 10), r.integers(0, 100, 400), np.arange(400), 100)
+    assert len(set(rare.tolist())) == 40
+
+
 def test_pack(spark):
     rows = [(k, (k * 37) % 900, f"s{k % 3}", k % 50) for k in range(200)] + [(500, 4500, "s", 1), (501, 0, "s", 2), (502, None, "s", 3), (503, 2048, None, None), (504, -5, "s", 4)]
     df = spark.createDataFrame([(*r, 9) for r in rows], "id long, n int, source string, cluster long, shard int")

@@ -1,7 +1,7 @@
 """Problem 7: values typed freely, mapped to the entries of a reference list.
 
 Method: a BK-tree over the reference entries under Levenshtein distance, a true metric, broadcast (or,
-beyond `SHARD` entries, cut into shards whose winners are merged). All values of a batch go down the tree
+beyond `SHARD` entries, cut into shards whose winners are merged, with the same result). All values of a batch go down the tree
 together: at a node, one bit-parallel pass gives the distances of its entry to every value still there,
 and the triangle inequality decides which values follow each edge. Entries within the radius come out
 whole; a value means the nearest one, where a swap of neighbours counts as one slip.
@@ -20,7 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-#: Reference entries of a field up to which its tree is broadcast whole.
+from ..session import parallelism
+
+#: Reference entries up to which the trees are broadcast whole.
 SHARD = 20_000
 #: Short and other forms of words, by field, in lower case.
 WORDS = {
@@ -66,6 +68,24 @@ def slips(a: str, b: str, most: int = 3) -> int:
     return min(row[-1], most + 1)
 
 
+def levenshtein(a: str, b: str) -> int:
+    """Edit distance of any two strings, bit-parallel over the first."""
+    if not a:
+        return len(b)
+    eq: dict[str, int] = {}
+    for i, c in enumerate(a):
+        eq[c] = eq.get(c, 0) | 1 << i
+    full, last, pv, mv, score = (1 << len(a)) - 1, 1 << len(a) - 1, (1 << len(a)) - 1, 0, len(a)
+    for c in b:
+        e = eq.get(c, 0)
+        xv, xh = e | mv, (((e & pv) + pv) ^ pv) | e
+        ph, mh = (mv | ~(xh | pv)) & full, pv & xh & full
+        score += bool(ph & last) - bool(mh & last)
+        ph, mh = (ph << 1 | 1) & full, mh << 1 & full
+        pv, mv = (mh | ~(xv | ph)) & full, ph & xv & full
+    return score
+
+
 class Words:
     """Strings as a padded matrix of character codes, for distances to one pattern at a time."""
 
@@ -80,8 +100,10 @@ class Words:
                 self.codes[i, k] = self.alphabet.setdefault(c, len(self.alphabet) + 1)
 
     def distances(self, pattern: str, which: np.ndarray) -> np.ndarray:
-        """Levenshtein distances of `pattern` (1 to 63 characters) to the strings `which`."""
+        """Levenshtein distances of `pattern` to the strings `which`; a long pattern goes string by string, in wide integers."""
         m = len(pattern)
+        if m > 63:
+            return np.array([levenshtein(pattern, self.texts[k]) for k in which.tolist()], np.int64)
         eq = np.zeros(len(self.alphabet) + 1, np.uint64)
         for i, c in enumerate(pattern):
             k = self.alphabet.get(c)
@@ -108,7 +130,7 @@ class BKTree:
     """Nodes are entries; the subtree on edge d of a node holds the entries at distance d from it."""
 
     def __init__(self, entries: list[str]):
-        self.entries = list(dict.fromkeys(e for e in entries if 0 < len(e) < 64))
+        self.entries = list(dict.fromkeys(e for e in entries if e))
         self.edges: list[dict[int, int]] = []
         for k, e in enumerate(self.entries):
             self.edges.append({})
@@ -165,13 +187,20 @@ class Reference:
         self.tree = BKTree(list(names))
         self.ids = [names[e] for e in self.tree.entries]
         self.alias = {k: v for k, v in self.exact.items() if k not in names and v != -1}
-        self.remote = {r: i for i, n in entries for r, _ in REACH if "remote" in plain(n) and r in plain(n)}
+        self.initials = BKTree(list(self.alias))
+        self.longest = max(map(len, [*names, *self.alias]), default=0)
+        self.remote = {r: i for i, n in sorted(entries, reverse=True) for r, _ in REACH if "remote" in plain(n) and r in plain(n)}
 
-    def _initials(self, name: str, i: int) -> None:
+    @staticmethod
+    def initials_key(name: str) -> str | None:
+        """A plain name with its first word as an initial; None for a single word."""
         head, _, town = name.rpartition("—")
         parts = town.split()
-        if len(parts) > 1:
-            key = squash(head) + parts[0][0] + squash(" ".join(parts[1:]))
+        return squash(head) + parts[0][0] + squash(" ".join(parts[1:])) if len(parts) > 1 else None
+
+    def _initials(self, name: str, i: int) -> None:
+        key = self.initials_key(name)
+        if key:
             self.exact[key] = i if self.exact.get(key, i) == i else -1
 
     def forms(self, value: str) -> list[str]:
@@ -233,76 +262,100 @@ class Reference:
     def radius(n: int) -> int:
         return 0 if n <= 2 else 1 if n <= 11 else 2
 
-    def resolve(self, values: list[str]) -> list[tuple[int, int]]:
-        """(entry id or -1, slips) of each value."""
-        out: list[tuple[int, int] | None] = []
+    def resolve(self, values: list[str]) -> list[tuple[int, tuple[int, int, int]]]:
+        """(entry id or -1, rank) of each value. Ranks of parts of a list compare: the least is the whole list's.
+
+        First comes an exact hit of the likeliest form, then the fewest slips, of a longer form, then slips of initials.
+        """
+        out: list[tuple[tuple[int, int, int], int]] = []
         open_, forms = [], []
         for k, v in enumerate(values):
-            hit = None
-            if self.field == "location":
-                hit = self.reach(v)
+            hit = self.reach(v) if self.field == "location" else None
+            if hit is not None:
+                out.append(((0, -1, 0), hit))
+                continue
             own = self.forms(v)
-            if hit is None:
-                hit = next((i for f in own if (i := self.names.get(f, self.alias.get(f))) is not None), None)
-            out.append((hit, 0) if hit is not None else None)
-            if hit is None:
+            found = next(((n, i) for n, f in enumerate(own) if (i := self.names.get(f, self.alias.get(f))) is not None), None)
+            out.append(((0, found[0], 0), found[1]) if found else (NONE, -1))
+            if not found:
                 for f in own:
-                    if 2 < len(f) < 80:
+                    if 2 < len(f) <= self.longest + 4:  # a longer one has no entry within reach
                         open_.append(k)
                         forms.append(f)
-        best: dict[int, tuple[int, int, int]] = {}
         limit = np.array([self.radius(len(f)) for f in forms], np.int64)
-        found = self.tree.within(forms, np.where(limit > 0, limit + 1, 0))
-        for k, f, most, near in zip(open_, forms, limit.tolist(), found, strict=True):
-            for _, node in near:
-                d = slips(f, self.tree.entries[node])
-                if d <= most:
-                    got = (d, -len(f), self.ids[node])
-                    if k not in best or got < best[k]:
-                        best[k] = got
-        if self.alias:
-            for k, f in zip(open_, forms, strict=True):
-                if k not in best and len(f) > 6:
-                    near = [(d, i) for a, i in self.alias.items() if a[0] == f[0] and (d := slips(f, a, 1)) <= 1]
-                    if near:
-                        best[k] = (*min(near)[:1], 0, min(near)[1])
-        return [x if x is not None else (best[k][2], best[k][0]) if k in best else (-1, 0) for k, x in enumerate(out)]
+        # A slip that is a swap costs two edits.
+        for kind, tree, ids, most, takes in ((1, self.tree, self.ids, limit, lambda f, a: True), (2, self.initials, list(self.alias.values()), np.array([int(len(f) > 6) for f in forms], np.int64), lambda f, a: a[0] == f[0])):
+            for k, f, reach, near in zip(open_, forms, most.tolist(), tree.within(forms, 2 * most), strict=True):
+                for _, node in near:
+                    entry = tree.entries[node]
+                    if takes(f, entry) and (d := slips(f, entry, reach)) <= reach:
+                        out[k] = min(out[k], ((kind, d, -len(f) if kind == 1 else 0), ids[node]))
+        return [(i, rank) for rank, i in out]
+
+
+#: Rank of a value that means no entry.
+NONE = (9, 0, 0)
+_SCHEMA = "field string, value string, r0 int, r1 int, r2 int, ref_id long"
+
+
+def _resolved(field: str, part: list[str], reference: Reference | None) -> pd.DataFrame:
+    got = reference.resolve(part) if reference else [(-1, NONE)] * len(part)
+    return pd.DataFrame({"field": field, "value": part, **{f"r{k}": [g[1][k] for g in got] for k in range(3)}, "ref_id": [g[0] for g in got]})
+
+
+def _shard_key(batches):
+    """Entries with the name by which they are put into shards, so that all that one's initials depend on come together."""
+    for pdf in batches:
+        flat = [plain(n) for n in pdf["name"]]
+        yield pdf.assign(key=[(Reference.initials_key(n) if f == "location" else None) or squash(n) for f, n in zip(pdf["field"], flat, strict=True)])
 
 
 def resolve_values(values: DataFrame, reference: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(field, value, ref_id) of distinct (field, value); ref_id -1 where none is meant."""
+    """(field, value, ref_id) of distinct (field, value); ref_id -1 where none is meant.
+
+    Up to `shard` entries, all fields together, the trees are broadcast. A longer list is cut into shards,
+    each a task's tree; every value goes to all shards of its field, and the least rank wins, so the result
+    is the same.
+    """
     spark = values.sparkSession
-    entries: dict[tuple[str, int], list[tuple[int, str]]] = {}
-    counts = {r["field"]: r["n"] for r in reference.groupBy("field").agg(F.count("*").alias("n")).collect()}
-    schema = "field string, value string, slips int, ref_id long"
-    if not counts or max(counts.values()) <= shard:
-        for r in reference.where("name is not null").select("field", "ref_id", "name").collect():
-            entries.setdefault((r["field"], 0), []).append((r["ref_id"], r["name"]))
+    named = reference.where("name is not null and field is not null").select("field", "ref_id", "name")
+    counts = {r["field"]: r["n"] for r in named.groupBy("field").agg(F.count("*").alias("n")).collect()}
+    if sum(counts.values()) <= shard:
+        entries: dict[str, list[tuple[int, str]]] = {}
+        for r in named.collect():
+            entries.setdefault(r["field"], []).append((r["ref_id"], r["name"]))
 
         def run(batches):
-            trees = {k[0]: Reference(k[0], v) for k, v in entries.items()}
+            trees = {f: Reference(f, v) for f, v in entries.items()}
             for pdf in batches:
                 for field, own in pdf.groupby("field", sort=False):
                     for lo in range(0, len(own), 5000):
-                        part = own["value"].iloc[lo : lo + 5000].tolist()
-                        got = trees[field].resolve(part) if field in trees else [(-1, 0)] * len(part)
-                        yield pd.DataFrame({"field": field, "value": part, "slips": [g[1] for g in got], "ref_id": [g[0] for g in got]})
-
-        return values.mapInPandas(run, schema).select("field", "value", "ref_id")
-    shards = -(-max(counts.values()) // shard)
-    left = values.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = reference.where("name is not null").select("field", "ref_id", "name", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard"))
-
-    def one(key, vals: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-        tree = Reference(key[0], list(zip(refs["ref_id"], refs["name"], strict=True)))
-        got = [g for lo in range(0, len(vals), 5000) for g in tree.resolve(vals["value"].iloc[lo : lo + 5000].tolist())]
-        return pd.DataFrame({"field": key[0], "value": vals["value"], "slips": [g[1] for g in got], "ref_id": [g[0] for g in got]})
-
-    won = left.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(64)))
-    parts = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    won = won.groupBy("field", "shard", "part").cogroup(parts.groupBy("field", "shard", "part")).applyInPandas(lambda k, a, b: one(k, a, b), schema)
-    rank = F.struct((F.col("ref_id") < 0).alias("none"), "slips", "ref_id")
-    return won.groupBy("field", "value").agg(F.min(rank).alias("m")).select("field", "value", F.col("m.ref_id").alias("ref_id"))
+                        yield _resolved(field, own["value"].iloc[lo : lo + 5000].tolist(), trees.get(field))
+
+        return values.repartition(parallelism(spark), "value").mapInPandas(run, _SCHEMA).select("field", "value", "ref_id")
+    shards = F.create_map(*[x for f, n in counts.items() for x in (F.lit(f), F.lit(max(1, -(-n // shard))))])
+    right = named.mapInPandas(_shard_key, "field string, ref_id long, name string, key string").withColumn("shard", F.pmod(F.xxhash64("key"), shards[F.col("field")]).cast("int"))
+    left = values.withColumn("shard", F.explode(F.sequence(F.lit(0), F.coalesce(shards[F.col("field")] - 1, F.lit(0)))))
+    cell = F.pmod(F.xxhash64("value"), F.lit(parallelism(spark))).cast("int")
+    both = right.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(parallelism(spark) - 1)))).select("field", "shard", "cell", F.col("name").alias("text"), "ref_id")
+    both = both.unionAll(left.select("field", "shard", cell, F.col("value"), F.lit(None).cast("long")))
+
+    def one(batches):
+        """Rows sorted by field, shard and cell, the entries first: the tree, then values as they come."""
+        key, entries, tree = None, [], None
+        for pdf in batches:
+            for k, own in pdf.groupby(["field", "shard", "cell"], sort=False):
+                if k != key:
+                    key, entries, tree = k, [], None
+                refs, vals = own[own["ref_id"].notna()], own[own["ref_id"].isna()]
+                entries += zip(refs["ref_id"].astype(int).tolist(), refs["text"], strict=True)
+                if len(vals):
+                    tree = tree or Reference(k[0], entries)
+                    for lo in range(0, len(vals), 5000):
+                        yield _resolved(k[0], vals["text"].iloc[lo : lo + 5000].tolist(), tree)
+
+    won = both.repartition(parallelism(spark), "field", "shard", "cell").sortWithinPartitions("field", "shard", "cell", F.col("ref_id").isNull()).mapInPandas(one, _SCHEMA)
+    return won.groupBy("field", "value").agg(F.min(F.struct("r0", "r1", "r2", "ref_id")).alias("m")).select("field", "value", F.col("m.ref_id").alias("ref_id"))
 
 
 def map_postings(postings: DataFrame, reference: DataFrame, shard: int = SHARD) -> DataFrame:

@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node of `edges`; a component is named by its least node.
 
     Each round points every node at the least node of its neighbourhood, first from larger neighbours,
-    then from smaller; the depth falls by about half, so rounds grow with the log of the diameter.
+    then from smaller; the depth falls by about half, so rounds grow with the log of the diameter. It ends
+    when a round changes nothing.
     """
     now = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x != y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.unionAll(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y").distinct()

@@ -3,6 +3,7 @@
 Method: conflict-constrained best-fit. Items go by falling size into bins that are ordered by residual;
 each bin carries a bitmap of the sources and one of the duplicate clusters in it. The search starts at
 the tightest residual that holds the item and goes on to the successor until a bin has neither conflict.
+No bin with room is left out of the search.
 If every bin with room conflicts, the tightest one is taken all the same: a conflict never costs a new
 container, since room left is what counts.
 
@@ -14,59 +15,81 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .tokens import encode
 
 #: Containers' worth of tokens in a shard, and items in a shard at most on average.
 SHARD_BINS, SHARD_ITEMS = 3_000, 60_000
-#: Bins of one residual that a search looks at before it takes the next residual.
-LOOKS = 16
+#: Sources whose free bins are indexed by residual; bins with a rarer source are few, and are passed one by one.
+INDEXED = 16
 
 
 def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int) -> np.ndarray:
     """The bin of each item (0 < size <= capacity), in the order given."""
-    held: dict[int, list[int]] = {}
+    held: dict[int, dict[int, list[int]]] = {}  # by residual and sources of the bin, as a bitmap
     mask = 0  # bit r: some bin has residual r
     src: list[int] = []
     dup: list[int] = []
     out = np.empty(len(sizes), np.int64)
-    s_ids = {s: 1 << k for k, s in enumerate(dict.fromkeys(sources.tolist()))}
+    names, often = np.unique(sources, return_counts=True)
+    s_ids = {s: 1 << k for k, s in enumerate(names[np.argsort(-often, kind="stable")].tolist())}
     d_ids = {d: 1 << k for k, d in enumerate(d for d, n in zip(*np.unique(clusters, return_counts=True), strict=True) if n > 1)}
+    indexed = min(INDEXED, len(s_ids))
+    free = [0] * indexed  # bit r: some bin of residual r is without the source
+    count = [{} for _ in range(indexed)]
+
+    def note(sources_in: int, r: int, by: int) -> None:
+        for k in range(indexed):
+            if not sources_in >> k & 1:
+                n = count[k].get(r, 0) + by
+                count[k][r] = n
+                if by > 0 and n == 1:
+                    free[k] |= 1 << r
+                elif n == 0:
+                    free[k] &= ~(1 << r)
+
     for i, (size, s, d) in enumerate(zip(sizes.tolist(), sources.tolist(), clusters.tolist(), strict=True)):
         sb, db = s_ids[s], d_ids.get(d, 0)
-        rest, chosen, fallback = mask >> size << size, None, None
+        k = sb.bit_length() - 1
+        rest, chosen = (free[k] if k < indexed else mask) >> size << size, None
         while rest:
             low = rest & -rest
             r = low.bit_length() - 1
-            bins = held[r]
-            for at in range(len(bins) - 1, max(-1, len(bins) - 1 - LOOKS), -1):
-                b = bins[at]
-                if not (src[b] & sb or dup[b] & db):
-                    chosen = (r, at)
-                    break
-            if chosen or r == capacity:
+            for own, bins in held[r].items():
+                if not own & sb:
+                    at = next((at for at in range(len(bins) - 1, -1, -1) if not dup[bins[at]] & db), None)
+                    if at is not None:
+                        chosen = (r, own, at)
+                        break
+            if chosen:
                 break
-            if fallback is None:
-                fallback = (r, len(bins) - 1)
             rest ^= low
-        chosen = chosen or fallback
+        if chosen is None and (rest := mask >> size << size):  # every bin with room conflicts: the tightest
+            r = (rest & -rest).bit_length() - 1
+            own = next(iter(held[r]))
+            chosen = (r, own, len(held[r][own]) - 1)
         if chosen is None:
             b, r = len(src), capacity
             src.append(0)
             dup.append(0)
         else:
-            r, at = chosen
-            bins = held[r]
+            r, own, at = chosen
+            bins = held[r][own]
             bins[at], bins[-1] = bins[-1], bins[at]
             b = bins.pop()
+            note(own, r, -1)
             if not bins:
-                mask &= ~(1 << r)
+                del held[r][own]
+                if not held[r]:
+                    del held[r]
+                    mask &= ~(1 << r)
         src[b] |= sb
         dup[b] |= db
         r -= size
         if r:
-            held.setdefault(r, []).append(b)
+            held.setdefault(r, {}).setdefault(src[b], []).append(b)
+            note(src[b], r, 1)
             mask |= 1 << r
         out[i] = b
     return out
@@ -95,7 +118,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, source_col: str, cluster_
 
     small = rows.where(rest > 0).select("id", rest.alias("n"), "s", "d", whole.alias("piece"), F.pmod(F.xxhash64("id", "n", "d"), F.lit(shards)).cast("int").alias("shard"))
     packed = small.groupBy("shard").applyInPandas(run, f"container string, id {kind}, piece int, start long, n_tokens long")
-    full = rows.where(whole > 0).select(F.concat(F.lit("full/"), F.col("id").cast("string"), F.lit("/"), F.monotonically_increasing_id().cast("string")).alias("own"), "id", F.posexplode(F.array_repeat(F.lit(capacity), whole)).alias("piece", "n_tokens"))
+    copy = F.row_number().over(Window.partitionBy("id").orderBy("n", "s", "d"))
+    full = rows.where(whole > 0).withColumn("copy", copy).select(F.concat_ws("/", F.lit("full"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("copy").cast("string")).alias("own"), "id", F.posexplode(F.array_repeat(F.lit(capacity), whole)).alias("piece", "n_tokens"))
     full = full.select(F.concat("own", F.lit("/"), F.col("piece").cast("string")).alias("container"), "id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.col("n_tokens").cast("long"))
     return packed.unionAll(full)
 

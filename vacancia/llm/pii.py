@@ -90,6 +90,7 @@ def plain(text: str) -> Plain:
 _AT = re.compile(r"[ \t]?@[ \t]?|[ \t]*[\[({<][ \t]*(?:at|arobase|arroba|ät|klammeraffe|a|@)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|arobase|arroba)[ \t]+", re.I)
 _DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|point|punkt|punto|\.)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|point|punkt|punto)[ \t]+|\.)"
 _LOCAL = re.compile(rf"(?<![\w.+%-])[\w+%-]+(?:{_DOT}[\w+%-]+)*$", re.I)
+_LOCAL_END = re.compile(r"^[\w.+%-]+$")
 _DOMAIN = re.compile(rf"[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)*{_DOT}[^\W\d_]{{2,}}(?![\w-])", re.I)
 _EXT = r"(?:[ \t]?,?[ \t]?(?:ext\.?|extension|x|poste|anexo|durchwahl|dw\.?|apdo)[ \t]?\d{1,6})?"
 _PHONE = re.compile(
@@ -152,8 +153,13 @@ def _emails(t: str):
         d = _DOMAIN.match(t, m.end())
         if d is None:
             continue
-        start = max(0, m.start() - 120)
-        loc = _LOCAL.search(t[start : m.start()])
+        wide = 120
+        while True:  # the window grows until the local part begins well inside it
+            start = max(0, m.start() - wide)
+            loc = _LOCAL.search(t[start : m.start()])
+            if start == 0 or loc is None and not _LOCAL_END.search(t[start : m.start()]) or loc is not None and loc.start() > 40:
+                break
+            wide *= 4
         if loc is None or not re.search(r"[^\W_]", loc.group()):
             continue
         if m.group().strip().isalpha() and "." in d.group() and not re.search(r"(?i)dot|punkt|punto|point|\.[a-z]", d.group()):
