@@ -1,4 +1,4 @@
-"""Model providers as pluggable functions, called once per distinct text, with a result cache (UDF-01..09, ER-20, 21)."""
+"""Model providers as pluggable functions, called once per distinct text, with a result cache (UDF-02, 03, 06, 08, 09, ER-20, 21)."""
 
 from __future__ import annotations
 

@@ -44,8 +44,7 @@ def distinct_concat(df: DataFrame, key: str, value: str, name: str, sep: str = "
 
 def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The last row of each key (WIN-01)."""
-    w = W.partitionBy(key).orderBy(*order)
-    return df.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+    return _one(df, [key], order)
 
 
 def carry_forward(df: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Small results as text, runs as JSON lines, tables by staged writes (SNK-14, 15, 19, 20, 21, 23)."""
+"""Small results as text, runs as JSON lines, tables by staged writes (SNK-09, 14, 15, 19, 20, 21, 23)."""
 
 from __future__ import annotations
 
@@ -19,6 +19,23 @@ def markdown(df: DataFrame, title: str | None = None) -> str:
     return "\n".join([*([f"# {title}", ""] if title else []), line(cells[0]), "|" + "|".join("-" * (w + 2) for w in wide) + "|", *map(line, cells[1:])])
 
 
+def report(title: str, summary: DataFrame, **details: DataFrame) -> str:
+    """A summary table and a section per detail table, in the order given (SNK-23)."""
+    parts = [f"# {title}", "", markdown(summary)]
+    for name, df in details.items():
+        parts += ["", f"## {name.replace('_', ' ')}", "", markdown(df) if df.take(1) else "None."]
+    return "\n".join(parts)
+
+
+def append_events(events: DataFrame, kind: str, path: str) -> bool:
+    """Add events of one kind; best effort: False if the sink fails (SNK-15)."""
+    try:
+        events.withColumn("kind", F.lit(kind)).write.mode("append").partitionBy("kind").json(path)
+        return True
+    except Exception:  # noqa: BLE001 - whatever the sink raises
+        return False
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import similarity as sim, text as tx
 from ..operators import relational as rel
+from ..operators.ledger import in_month
 from ..operators.rules import Rule, decide
 from ..session import table
 
@@ -132,16 +133,20 @@ def url_canonical(t):
 
 @query("WITH u AS (SELECT user_id, " + _URL.format(u="url") + " AS page, posting_id, seen_at FROM seen_urls), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, page ORDER BY seen_at NULLS LAST, posting_id) AS k FROM u) SELECT user_id, page, posting_id, seen_at FROM r WHERE k = 1")
 def url_first_wins(t):
-    """ER-19, SNK-01, 02: the first arrival of each user and page."""
+    """ER-19, SNK-01, 02: the first arrival of each user and page; the rows of later months come to those that are there."""
     u = t("seen_urls").select("user_id", tx.canonical_url(F.col("url")).alias("page"), "posting_id", "seen_at", F.col("seen_at").isNull().alias("late"))
-    return rel.insert_or_ignore(u.limit(0), u, ["user_id", "page"], ["late", "seen_at", "posting_id"]).drop("late")
+    later = F.coalesce(F.col("seen_at") >= F.lit("2025-03-01").cast("timestamp_ntz"), F.lit(True))
+    order, keys = ["late", "seen_at", "posting_id"], ["user_id", "page"]
+    return rel.insert_or_ignore(rel.insert_or_ignore(u.limit(0), u.where(~later), keys, order), u.where(later), keys, order).drop("late")
 
 
 @query("WITH u AS (SELECT user_id, " + _URL.format(u="url") + " AS page, posting_id, seen_at FROM seen_urls), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, page ORDER BY seen_at DESC NULLS LAST, posting_id DESC) AS k FROM u) SELECT user_id, page, posting_id, seen_at FROM r WHERE k = 1")
 def url_last_wins(t):
     """SNK-03: the last arrival replaces those before."""
     u = t("seen_urls").select("user_id", tx.canonical_url(F.col("url")).alias("page"), "posting_id", "seen_at")
-    return rel.insert_or_replace(u.limit(0), u, ["user_id", "page"], ["seen_at", "posting_id"])
+    later = F.coalesce(F.col("seen_at") >= F.lit("2025-03-01").cast("timestamp_ntz"), F.lit(False))
+    order, keys = ["seen_at", "posting_id"], ["user_id", "page"]
+    return rel.insert_or_replace(rel.insert_or_replace(u.limit(0), u.where(~later), keys, order), u.where(later), keys, order)
 
 
 @query("SELECT sha256(text) AS text_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
@@ -300,11 +305,10 @@ def watermark_delta(t):
     return t("events").where("event_id > 500").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.coalesce(F.sum("value"), F.lit(0)), 6).alias("total"), F.coalesce(F.max("event_id"), F.lit(0)).alias("mark"))
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-01' AND ts >= TIMESTAMP '2024-01-10' GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-11' GROUP BY 1")
 def month_to_date(t):
-    """AGG-03, 06, DT-04, 06: since the month's first, as of a given day."""
-    as_of = F.lit("2024-01-10").cast("date")
-    e = t("events").where((F.to_date("ts") >= F.trunc(as_of, "MM")) & (F.col("ts") >= as_of.cast("timestamp_ntz")))
+    """AGG-03, DT-04: from the month's first to the end of a given day."""
+    e = t("events").where(in_month(F.col("ts").cast("timestamp_ntz"), F.lit("2024-01-10").cast("date")))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
@@ -376,12 +380,12 @@ def survivorship(t):
 _PAGE = "CASE WHEN nullif(" + _BOARD + ", '') IS NOT NULL AND " + _JOB + " IS NOT NULL THEN " + _BOARD + " || '/' || " + _JOB + " END"
 
 
-@query("""WITH h AS (SELECT job_id, any_value(title) AS title, any_value(company) AS company, max(description) AS description FROM (SELECT DISTINCT job_id, title, company, description FROM hydrated_jds WHERE job_id IS NOT NULL) GROUP BY 1),
+@query("""WITH h AS (SELECT job_id, max(title) AS title, max(company) AS company, max(description) AS description FROM (SELECT DISTINCT job_id, title, company, description FROM hydrated_jds WHERE job_id IS NOT NULL) GROUP BY 1),
 u AS (SELECT posting_id, min(""" + _JOB.format(u="url") + """) AS job_id FROM seen_urls GROUP BY 1)
 SELECT p.id, coalesce(h.title, p.canonical_title) AS canonical_title, coalesce(h.company, p.canonical_company) AS canonical_company, length(coalesce(h.description, p.full_jd)) AS n FROM postings p LEFT JOIN u ON u.posting_id = p.id LEFT JOIN h ON h.job_id = u.job_id""")
 def hydrated_update(t):
     """SNK-05, 08, 09: new values where the page gave any, old ones else."""
-    h = t("hydrated_jds").where("job_id is not null").select("job_id", F.col("title").alias("canonical_title"), F.col("company").alias("canonical_company"), F.col("description").alias("full_jd")).distinct().groupBy("job_id").agg(F.first("canonical_title").alias("canonical_title"), F.first("canonical_company").alias("canonical_company"), F.max("full_jd").alias("full_jd"))
+    h = t("hydrated_jds").where("job_id is not null").select("job_id", F.col("title").alias("canonical_title"), F.col("company").alias("canonical_company"), F.col("description").alias("full_jd")).distinct().groupBy("job_id").agg(F.max("canonical_title").alias("canonical_title"), F.max("canonical_company").alias("canonical_company"), F.max("full_jd").alias("full_jd"))
     u = t("seen_urls").groupBy(F.col("posting_id").alias("id")).agg(F.min(tx.job_id(F.col("url"))).alias("job_id"))
     news = u.join(h, "job_id").drop("job_id")
     p = t("postings").select("id", "canonical_title", "canonical_company", "full_jd")
@@ -404,7 +408,7 @@ def stale_removal(t):
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
 def json_rollup(t):
-    """JSN-01, 02, 05, MAP-01: malformed documents count as null."""
+    """JSN-01, 05: malformed documents count as null."""
     return t("events").withColumn("k", F.from_json("props", "k long")["k"]).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
@@ -475,7 +479,7 @@ def changed_values(t):
 
 @query("SELECT id, array_to_string(list_filter(tags, lambda x: x NOT IN ('urgent', 'part-time', 'remote', 'contract', 'full-time')), ',') AS bad FROM postings WHERE tags IS NOT NULL")
 def unknown_tags(t):
-    """ARR-03, JSN-03, 04: list items outside their enumeration."""
+    """ARR-03: list items outside their enumeration."""
     known = ("urgent", "part-time", "remote", "contract", "full-time")
     return t("postings").where("tags is not null").select("id", F.array_join(F.filter("tags", lambda x: ~x.isin(*known)), ",").alias("bad"))
 
@@ -520,3 +524,6 @@ def greedy_resolution(t):
     p = p.join(vectors.select("id", F.col("embedding").alias("vector")), "id", "left")
     rows = p.select(F.col("id").alias("posting_id"), "user_id", F.col("canonical_company").alias("company"), F.col("team_or_department").alias("team"), F.col("canonical_location").alias("location"), F.col("canonical_title").alias("title"), F.col("seniority_band").alias("seniority"), F.col("top_skills").alias("skills"), "vector", F.when(F.trim("role_summary") != "", "role_summary").otherwise("full_jd").alias("source_kind"), "first_seen", "last_seen", "full_jd", F.lit(None).cast("string").alias("source"))
     return resolve(rows, verdict=lambda a, b, s: s >= 0.85)
+
+
+from . import records  # noqa: E402, F401 - more queries, registered by being imported

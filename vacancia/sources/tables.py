@@ -18,9 +18,24 @@ class Matching:
     repost_days: int = 30
 
 
+def read_config(path: str | None):
+    """What a JSON or YAML file holds; {} without a path."""
+    if not path:
+        return {}
+    text = Path(path).read_text(encoding="utf-8")
+    if str(path).endswith((".yaml", ".yml")):
+        import yaml
+
+        try:
+            return yaml.safe_load(text) or {}
+        except yaml.YAMLError as e:
+            raise ValueError(str(e)) from e
+    return json.loads(text)
+
+
 def load_settings(path: str | None) -> Matching:
     try:
-        raw = json.loads(Path(path).read_text()) if path else {}
+        raw = read_config(path)
         return Matching(**{f.name: type(f.default)(raw[f.name]) for f in fields(Matching) if f.name in raw})
     except (OSError, ValueError, TypeError):
         return Matching()
@@ -29,12 +44,36 @@ def load_settings(path: str | None) -> Matching:
 def load_taxonomy(path: str | None) -> dict[str, list[str]]:
     """Categories with their members in order; empty where the file is missing or bad (SRC-15)."""
     try:
-        raw = json.loads(Path(path).read_text()) if path else {}
+        raw = read_config(path)
         return {k: [str(x) for x in v] for k, v in raw.items() if isinstance(v, list)} if isinstance(raw, dict) else {}
     except (OSError, ValueError):
         return {}
 
 
+@dataclass(frozen=True)
+class Provider:
+    """Which providers are used; a missing or bad file gives these defaults (SRC-14)."""
+
+    extractor: str = "rules"
+    embedder: str = "hashed-words"
+    timeout: float = 30.0
+
+
+def load_provider(path: str | None) -> Provider:
+    try:
+        raw = read_config(path)
+        got = Provider(**{f.name: type(f.default)(raw[f.name]) for f in fields(Provider) if f.name in raw})
+        return got if got.timeout > 0 else Provider()
+    except (OSError, ValueError, TypeError):
+        return Provider()
+
+
+def alias_map(taxonomy: dict[str, list[str]], aliases: dict[str, str]) -> dict[str, str]:
+    """Every name of a taxonomy, and every alias of one, in lower case, with the name it stands for (SRC-15, STR-22)."""
+    names = {x.lower(): x for members in taxonomy.values() for x in members}
+    return names | {a.strip().lower(): names[v.strip().lower()] for a, v in aliases.items() if v.strip().lower() in names}
+
+
 def read_template(path: str, **holes: str) -> str:
     """A template with its named holes filled; a missing file is an error (SRC-19)."""
     return Path(path).read_text().format(**holes)

@@ -1,4 +1,4 @@
-"""The incremental forms: first wins, already linked, transitions, watermarks (STM-01..07)."""
+"""The incremental forms: first wins, already linked, transitions, watermarks (STM-01, 02, 03, 05, 06)."""
 
 from __future__ import annotations
 
@@ -50,7 +50,7 @@ def windowed_counts(stream: DataFrame, at: str, size: str, late: str, *by: str)
 
 
 def transition_events(stream: DataFrame, bad: tuple[str, ...] = ("degraded", "failed"), good: tuple[str, ...] = ("healthy", "never_run")) -> DataFrame:
-    """(source, status, previous) whenever a source turns from good to bad, across micro-batches (WIN-03, STM-07)."""
+    """(source, status, previous) whenever a source turns from good to bad, across micro-batches (WIN-03)."""
 
     def step(key, frames, state):
         previous = state.get[0] if state.exists else "never_run"
