@@ -43,6 +43,16 @@ def test_boilerplate(spark):
     assert {r["text"] for r in bp.main_text(src.where("id = 50"), scorer, "id", "raw_html").collect()} == {"You will build pipelines."}
 
 
+def test_one_block_around_all_is_parted(spark):
+    """A page whose menu, posting and footer stand in one block is decided by its words, not as a whole."""
+    src = spark.createDataFrame([(k, PAGE) for k in range(30)], "id long, raw_html string")
+    scorer = bp.learn(src.selectExpr("cast(id as string) key", "raw_html page"))
+    words = ["Sign in", "Imprint", "Sign in", "Imprint"] * 3
+    page = '<div class="all">\n' + "\n".join([f"<span>{w}</span>" for w in words] + ["<p>You will build pipelines.</p>"] * 8 + [f"<span>{w}</span>" for w in words]) + "\n</div>"
+    got = bp.page_boilerplate(spark.createDataFrame([("1", page)], "key string, page string"), scorer).first()["lines"]
+    assert got == [*range(2, 14), *range(22, 34)]
+
+
 def test_residue(spark):
     good = "You will lead and build reports together with planners. We trace 404 responses in our services and check sign-in flows of the portal. " * 5
     rows = [(f"g{k}", good + str(k), "t", "complete", f"https://{'a' if k % 2 else 'b'}.example/{k}") for k in range(60)]

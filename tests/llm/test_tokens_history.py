@@ -107,6 +107,16 @@ def test_dependencies(spark):
     assert sv.survivors(df.limit(0), "g", [town, code]).count() == 0
 
 
+def test_job_bundles_branch(spark):
+    d = lambda k: dt.datetime(2025, 1, k)
+    rows = [(1, "A", "X", d(1), d(9)), (2, "B", "Y", d(2), d(20)), (3, "A", "Z", d(3), d(3)), (4, "C ", "X", d(1), d(1)), (5, "C", "X", d(1), d(1)), (6, " ", None, d(1), d(1)), (7, "D", None, d(1), d(1))]
+    p = spark.createDataFrame(rows, "id long, canonical_company string, canonical_location string, first_seen timestamp_ntz, last_seen timestamp_ntz")
+    links = spark.createDataFrame([("1", 1), ("1", 1), ("2", 1), ("3", 1), ("4", 2), ("5", 2), ("6", 3), ("7", 3), ("1", 4)], "posting_id string, canonical_id long")
+    # Job 1: the newest company is B, the oldest location X, which B never has: B with Y loses one day, A with X eleven.
+    assert sorted(map(tuple, sv.job_bundles(p, links).collect())) == [(1, "B", "Y"), (2, "C", "X")]
+    assert sv.job_bundles(p, links.limit(0)).count() == 0
+
+
 def test_job_survivors(spark):
     t = lambda d: dt.datetime(2025, 1, d)
     p = spark.createDataFrame([(1, " a b\t\r\n", t(1), 0), (2, "ab", t(2), 0), (3, None, None, 0), (4, "x", t(1), 0)], "id long, full_jd string, last_seen timestamp_ntz, size int")

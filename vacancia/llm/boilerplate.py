@@ -3,7 +3,7 @@
 Method: maximum-scoring subsequences. Words and tags have weights, words of content positive, tags of
 menus, notices and footers negative, learned from pages whose blocks carry telling names. A linear scan
 finds the contiguous regions with the best total, where opening a region has a price; with a price above
-all gains that is the single best region. Where a page's HTML has blocks, a block is in or out as a whole.
+all gains that is the single best region. On a page the scan goes over the lines of all blocks; where a block begins, a change costs little.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ _MUTE_OPEN, _MUTE_CLOSE = re.compile(r"<(head|script|style)\b", re.I), re.compil
 SAMPLE = 4_000
 #: Price of a change between region and rest, in log odds, at the lines of a text.
 PRICE = 1.0
+#: The same where a block of a page begins, and inside a block with names.
+BORDER, INSIDE = 0.25, 12.0
 
 
 def page_lines(page: str) -> list[tuple[int, str, int, str, tuple[str, ...]]]:
@@ -87,33 +89,37 @@ class Scorer:
         self.model, self.tags = model, tags
 
     def page(self, rows, scores) -> list[int]:
-        """Line numbers outside the best regions of a page."""
-        total: dict[int, float] = {}
-        loose: list[tuple[int, float]] = []
-        for (no, _, block, names, tags), s in zip(rows, scores, strict=True):
-            s += sum(self.tags.get("<" + t, 0.0) for t in set(tags))
-            if not names:
-                loose.append((no, s))
-            elif block in total:
-                total[block] += s
-            else:
-                total[block] = s + sum(self.tags.get(p, 0.0) for p in dict.fromkeys(names.split()))
-        inside = dict(zip([x[0] for x in loose], regions(np.array([x[1] for x in loose]), PRICE).tolist(), strict=True))
-        return [r[0] for r in rows if (total[r[2]] < 0 if r[3] else not inside[r[0]])]
-
-
-def regions(scores: np.ndarray, price: float) -> np.ndarray:
-    """Whether each line lies in one of the regions of the best total: a linear scan over the two states."""
+        """Line numbers outside the best regions of a page: one scan over all its lines.
+
+        A line's tags add to its words. The tag that opens a block stands at its first line with a weight of
+        its own, spread over the block; to change between region and rest costs little where a block begins.
+        """
+        own, price, before = [], [], None
+        sizes: dict[int, int] = {}
+        for r in rows:
+            sizes[r[2]] = sizes.get(r[2], 0) + 1
+        for (_, _, block, names, tags), s in zip(rows, scores, strict=True):
+            opening = sum(self.tags.get(p, 0.0) for p in dict.fromkeys(names.split())) if names else 0.0
+            own.append(s + sum(self.tags.get("<" + t, 0.0) for t in set(tags)) + opening / sizes[block])
+            price.append(BORDER if block != before else INSIDE if names else PRICE)
+            before = block
+        inside = regions(np.array(own), price)
+        return [r[0] for r, x in zip(rows, inside.tolist(), strict=True) if not x]
+
+
+def regions(scores: np.ndarray, price: float | list[float]) -> np.ndarray:
+    """Whether each line lies in one of the regions of the best total: a linear scan over the two states.
+    A change before a line costs `price`, or the line's own price."""
     n = len(scores)
     out = np.zeros(n, bool)
     if not n:
         return out
     inside, outside = float(scores[0]), 0.0
     back = []
-    for s in scores[1:].tolist():
-        a, b = inside >= outside - price, outside >= inside - price
+    for s, cost in zip(scores[1:].tolist(), price[1:] if isinstance(price, list) else [price] * (n - 1), strict=True):
+        a, b = inside >= outside - cost, outside >= inside - cost
         back.append((a, b))
-        inside, outside = (inside if a else outside - price) + s, outside if b else inside - price
+        inside, outside = (inside if a else outside - cost) + s, outside if b else inside - cost
     state = inside >= outside
     out[-1] = state
     for k in range(n - 2, -1, -1):
@@ -200,15 +206,15 @@ def boilerplate_lines(sources: DataFrame, hydrated: DataFrame, sample: int = SAM
     """(field, record_key, line_no) of posting_sources.raw_html and hydrated_jds.description.
 
     Null and empty pages and texts, blank lines, markup, comments and head, script and style give no
-    rows. Rows delivered twice count once; a null key gives none. Tables without pages give no weights,
+    rows. Rows delivered twice count once, and a key with several texts gives the lines of each; a null key gives none. Tables without pages give no weights,
     and no rows.
     """
     pages = sources.select(F.col("id").cast("string").alias("key"), F.col("raw_html").alias("page")).where("key is not null and page is not null")
     texts = hydrated.select(F.col("job_id").alias("key"), F.col("description").alias("text")).where("key is not null and text is not null")
     scorer = learn(pages, texts, sample)
     a = page_boilerplate(pages, scorer).select(F.lit("raw_html").alias("field"), "key", "lines")
-    b = text_boilerplate(texts, scorer).groupBy("key").agg(F.first("lines").alias("lines")).select(F.lit("description").alias("field"), "key", "lines")
-    return a.unionAll(b).select("field", F.col("key").alias("record_key"), F.explode("lines").alias("line_no"))
+    b = text_boilerplate(texts, scorer).select(F.lit("description").alias("field"), "key", F.explode("lines").alias("line_no")).distinct()
+    return a.select("field", "key", F.explode("lines").alias("line_no")).unionAll(b).withColumnRenamed("key", "record_key")
 
 
 def main_text(df: DataFrame, scorer: Scorer, id_col: str, page_col: str) -> DataFrame:

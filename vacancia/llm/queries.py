@@ -19,6 +19,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return job_survivors(table(spark, d, "postings"), table(spark, d, "posting_sources"), table(spark, d, "posting_canonical_links"))
 
 
+def p2_bundles(spark: SparkSession, d: str) -> DataFrame:
+    from .survivor import job_bundles
+
+    return job_bundles(table(spark, d, "postings"), table(spark, d, "posting_canonical_links"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .boilerplate import boilerplate_lines
 
@@ -80,7 +86,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded, p9_containers, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_bundles, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded, p9_containers, p10_found, p10_redacted)}
 
 SQL = {
     "p1_found": """
@@ -99,5 +105,14 @@ s AS (SELECT m.canonical_id, s.id, row_number() OVER (PARTITION BY m.canonical_i
       FROM m JOIN g USING (canonical_id) JOIN posting_sources s ON s.posting_id = m.posting_id)
 SELECT p.canonical_id, p.posting_id AS best_posting_id, s.id AS best_source_id
 FROM p LEFT JOIN s ON s.canonical_id = p.canonical_id AND s.k = 1 WHERE p.k = 1""",
+    "p2_bundles": """
+WITH m AS (SELECT DISTINCT canonical_id, CAST(posting_id AS BIGINT) AS id FROM posting_canonical_links),
+k AS (SELECT id, canonical_company AS company, canonical_location AS location, coalesce(date_diff('day', DATE '1970-01-01', CAST(last_seen AS DATE)), -1000000) AS seen, coalesce(-date_diff('day', DATE '1970-01-01', CAST(first_seen AS DATE)), -1000000) AS early FROM postings),
+r AS (SELECT m.canonical_id, k.* FROM m JOIN k USING (id) WHERE m.canonical_id IN (SELECT canonical_id FROM m GROUP BY 1 HAVING count(*) > 1)),
+p AS (SELECT DISTINCT company, location FROM k WHERE trim(company) <> '' AND trim(location) <> ''),
+f AS (SELECT canonical_id, company, max(seen) AS seen FROM r WHERE trim(company) <> '' GROUP BY 1, 2),
+g AS (SELECT canonical_id, location, max(early) AS early FROM r WHERE trim(location) <> '' GROUP BY 1, 2),
+x AS (SELECT f.canonical_id, f.company, g.location, f.seen, g.early, f.company NOT IN (SELECT company FROM p) OR EXISTS (SELECT 1 FROM p WHERE p.company = f.company AND p.location = g.location) AS ok FROM f JOIN g USING (canonical_id))
+SELECT canonical_id, company, location FROM (SELECT *, row_number() OVER (PARTITION BY canonical_id ORDER BY ok DESC, CASE WHEN ok THEN seen + early END DESC, seen DESC, company, early DESC, location) AS k FROM x) WHERE k = 1""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -4,9 +4,9 @@ Method: consistent bundles. Fields that depend on each other form a bundle, take
 a bundle has an order of trust. The choice of one candidate per bundle that has the most trust in all,
 under functional dependencies between bundles, is found by branch and bound.
 
-The bound of a group is the best candidate of every bundle by itself. It is computed by partial
-aggregation, so a group of any size costs one row a task and bundle. Where that choice breaks no
-dependency it is the optimum, and nothing is branched. For the other groups only undominated candidates
+The bound at a group's root is the best candidate of every bundle by itself, all in one partial
+aggregation, so a group of any size costs one row a task. Where that choice breaks no dependency it
+reaches its own bound, so it is the optimum and the search ends there. For the other groups only undominated candidates
 are gathered: among candidates of a bundle that say the same about the dependencies, the most trusted.
 """
 
@@ -40,10 +40,10 @@ class Dependency:
     table: DataFrame
 
 
-def _best(records: DataFrame, group: str, bundle: Bundle) -> DataFrame:
-    rows = records if bundle.where is None else records.where(bundle.where)
-    pick = F.min(F.struct(*[t.alias(f"t{i}") for i, t in enumerate(bundle.trust)], F.struct(*[F.col(f) for f in bundle.fields], bundle.score.alias("__score")).alias("v")))
-    return rows.groupBy(F.col(group).alias("group")).agg(pick.alias("p")).select("group", F.col("p.v").alias(bundle.name))
+def _pick(bundle: Bundle):
+    """The most trusted candidate of a bundle, as an aggregate."""
+    one = F.struct(*[t.alias(f"t{i}") for i, t in enumerate(bundle.trust)], F.struct(*[F.col(f) for f in bundle.fields], bundle.score.alias("__score")).alias("v"))
+    return F.min(one if bundle.where is None else F.when(bundle.where, one))["v"].alias(bundle.name)
 
 
 def branch_and_bound(candidates: list[list[tuple[float, dict]]], allowed: list[tuple[str, str, dict[str, set[str]]]]) -> list[int] | None:
@@ -92,10 +92,8 @@ def survivors(records: DataFrame, group: str, bundles: list[Bundle], dependencie
     table gives no rows.
     """
     records = records.where(F.col(group).isNotNull())
-    root = None
-    for b in bundles:
-        one = _best(records, group, b)
-        root = one if root is None else root.join(one, "group", "full_outer")
+    root = records.groupBy(F.col(group).alias("group")).agg(*[_pick(b) for b in bundles])
+    root = root.where(" or ".join(f"`{b.name}` is not null" for b in bundles))
     if not dependencies:
         return _plain(root, bundles)
     checked = root
@@ -139,7 +137,9 @@ def survivors(records: DataFrame, group: str, bundles: list[Bundle], dependencie
             allowed.append((a, b, table))
         cands, texts = [], []
         for k in range(len(bundles_n)):
-            own = pdf[pdf["bundle"] == k].sort_values(["score", "v"], ascending=[False, True])
+            own = pdf[pdf["bundle"] == k]
+            values = [[(x is None, str(x)) for x in json.loads(v).values()] for v in own["v"]]
+            own = own.iloc[sorted(range(len(own)), key=lambda i: (-own["score"].iloc[i], values[i]))]
             if not len(own):
                 cands.append([(0.0, {})])
                 texts.append([None])
@@ -148,7 +148,7 @@ def survivors(records: DataFrame, group: str, bundles: list[Bundle], dependencie
             texts.append(own["v"].tolist())
         got = branch_and_bound(cands, allowed)
         if got is None:
-            return pd.DataFrame({"group": [], "chosen": []})
+            return pdf.iloc[:0][["group"]].assign(chosen=pd.Series([], dtype=object))
         return pd.DataFrame({"group": [pdf["group"].iloc[0]], "chosen": [[t[i] for t, i in zip(texts, got, strict=True)]]})
 
     bundles_n = [b.name for b in bundles]
@@ -195,3 +195,24 @@ def job_survivors(postings: DataFrame, sources: DataFrame, links: DataFrame) ->
     source = Bundle("source", ("source_id",), (~F.col("page"), F.col("source_first_seen").isNull(), F.col("source_first_seen"), F.col("source_id")), where=F.col("source_id").isNotNull())
     best = survivors(a.unionAll(b), "canonical_id", [posting, source])
     return best.select(F.col("group").alias("canonical_id"), F.col("posting.posting_id").alias("best_posting_id"), F.col("source.source_id").alias("best_source_id"))
+
+
+def job_bundles(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """(canonical_id, company, location) of each job with several postings: the company as last seen and the
+    location as first seen, both whole from a member, where a company stands only with locations it is posted
+    with somewhere.
+
+    Blank companies and locations are no candidates; a job that lacks either gives no row. A job without a
+    consistent choice keeps the most trusted values. Ties go to the lesser name.
+    """
+    members = links.where("canonical_id is not null and posting_id is not null").select("canonical_id", F.col("posting_id").cast("long").alias("id")).distinct()
+    several = members.groupBy("canonical_id").agg(F.count("*").alias("n")).where("n > 1").select("canonical_id")
+    day = lambda c: F.coalesce(F.datediff(F.col(c), F.lit("1970-01-01")), F.lit(-1_000_000))
+    known = postings.select("id", F.col("canonical_company").alias("company"), F.col("canonical_location").alias("location"), day("last_seen").alias("seen"), F.coalesce(-F.datediff(F.col("first_seen"), F.lit("1970-01-01")), F.lit(-1_000_000)).alias("early"))
+    rows = members.join(several, "canonical_id", "left_semi").join(known, "id")
+    filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    firm = Bundle("firm", ("company",), (-F.col("seen"), F.col("company")), F.col("seen"), filled("company"))
+    place = Bundle("place", ("location",), (-F.col("early"), F.col("location")), F.col("early"), filled("location"))
+    posted = known.where(filled("company") & filled("location")).select("company", "location").distinct()
+    best = survivors(rows, "canonical_id", [firm, place], [Dependency("company", "location", posted)])
+    return best.where("firm is not null and place is not null").select(F.col("group").alias("canonical_id"), F.col("firm.company").alias("company"), F.col("place.location").alias("location"))
