@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -82,11 +83,13 @@ def plain(text: str) -> Plain:
         p.sub(re.compile(r"[\u2018\u2019\u02bc]"), lambda m: "'")
         p.sub(re.compile(r"[\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\U0001d7ce-\U0001d7ff]"), lambda m: unicodedata.normalize("NFKC", m.group()) if m.group() not in "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹" else str(unicodedata.digit(m.group())))
         p.sub(re.compile(r"(?=\w*[A-Za-z])\w*[\u0370-\u03ff\u0400-\u04ff]\w*"), lambda m: "".join(LOOKALIKE.get(c, c) for c in m.group()))
-    if _SPELLED_RUN.search(p.text):
+    # Seven number words in a row: five of them at least stand free of other signs.
+    if sum(map(SPELLED.__contains__, p.text.lower().replace("-", " ").replace(",", " ").split())) >= 5:
         p.sub(_SPELLED_RUN, lambda m: "".join(SPELLED[w] for w in re.findall(r"[^\W\d_]+", m.group().lower())))
     return p
 
 
+_AT_SIGN = re.compile(r"@|[\[({<][ \t]*(?:at|arobase|arroba|ät|klammeraffe|a|@)[ \t]*[\])}>]|(?<=[ \t])(?:at|arobase|arroba)(?=[ \t])", re.I)
 _AT = re.compile(r"[ \t]?@[ \t]?|[ \t]*[\[({<][ \t]*(?:at|arobase|arroba|ät|klammeraffe|a|@)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|arobase|arroba)[ \t]+", re.I)
 _DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|point|punkt|punto|\.)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|point|punkt|punto)[ \t]+|\.)"
 _LOCAL = re.compile(rf"(?<![\w.+%-])[\w+%-]+(?:{_DOT}[\w+%-]+)*$", re.I)
@@ -109,7 +112,8 @@ _PHONE = re.compile(
     rf"){_EXT}(?![\w]|[.,/-]\d|[ ]?[€$%]| \d{{2,}})",
     re.I,
 )
-_BARE_PHONE = re.compile(r"(?i)(?:tel|tél|phone|call|text|mobile?|móvil|portable|voice mail|reach us on|llama al|rufen sie|appelez le|handy|fax)[.:]{0,2}[ \t]*:?[ \t]*(\d{9,11})(?![\w-])")
+_BARE_PHONE = re.compile(r"(?<!\d)\d{9,11}(?![\w-])")
+_BARE_LABEL = re.compile(r"(?i)(?:tel|tél|phone|call|text|mobile?|móvil|portable|voice mail|reach us on|llama al|rufen sie|appelez le|handy|fax)[.:]{0,2}$")
 _NOT_PHONE = re.compile(r"(?i)(?:invoice|order no\.?|order|ticket|ref\.?|budget code|coordinates|release|version|pay band|grade|requisition|rechnung|facture|factura|phase|iso)[ \t]*[#:.]?[ \t]*$")
 _ID_LABEL = re.compile(
     r"(?i)(?<![\w])(?:social insurance|social security|sécurité sociale|seguridad social|sozialversicherungs?(?:nummer|nr)?|sv-?n(?:umme)?r|s\.?i\.?n|s\.?s\.?n|n\.?a\.?s|n\.?i\.?r|n\.?i\.?f|n\.?i\.?e|d\.?n\.?i|nss|n[°º] de sécu\w*|número fiscal|insurance number|número de seguro social|steuer-?(?:id|nummer|nr|identifikationsnummer)|steuer|idnr|tax(?:payer)?(?: id(?:entification)?)?|numéro fiscal|num[ée]ro d[e']\w*(?: sociale| fiscal)?|nº fiscal|passport|passeport|reisepass|pass|passnummer|pasaporte|travel document|document de voyage|documento(?: de \w+)?|reisedokument|identity(?: card| document)?|identidad|national id(?:entity)?|national insurance|id card|personalausweis|ausweis|carte d'identité|pièce d'identité|titre de séjour|identifiant fiscal|número de \w+)"
@@ -118,6 +122,7 @@ _ID_LABEL = re.compile(
 _ID_VALUE = re.compile(
     r"(?:\d \d\d \d\d \d\d \d{3} \d{3}(?: \d\d)?|\d{2} \d{6} [A-Za-z] \d{3}|\d{3}[ .-]\d{2}[ .-]\d{4}|\d{2}[ .]\d{3}[ .]\d{3}[ .]\d{3}|\d{3}\.\d{3}\.\d{3}-\d\d|\d{3}[ .-]\d{3}[ .-]\d{3}(?!\d)|\d{3}/\d{4}/\d{4}|\d{2}[./]\d{3}[./]\d{3}[-.]?[A-Za-z0-9]?|[A-Z]{2} \d\d \d\d \d\d [A-Z]|[A-Z]\d{3}[A-Z]\d{4}|[XYZxyz]-?\d{7}-?[A-Za-z]|\d{7,8}-?[A-Za-z]|[A-Za-z]{1,3}[ -]?\d{5,9}[A-Za-z]?|\d{2}[A-Z]{2}\d{5}|\d{8,15}|(?=[A-Z0-9]*\d[A-Z0-9]*\d[A-Z0-9]*\d)[A-Z0-9]{7,14})(?![\w]|-\d)"
 )
+_FIVE = re.compile(r"\d(?:[ ./-]?[A-Za-z]{0,3}[ ./-]?\d){4}")
 _PLACE_END = r"(?![\w-])"
 _HOUSE = r"\d{1,5}[A-Za-z]?"
 _UNIT = r"(?:,?[ ](?:Apt\.?|Unit|Suite|Flat|Ste\.?|No\.?|#|app\.|apt\.?|bureau|étage|Whg\.?|piso|puerta)[ ]?#?[\w-]{1,5}|,?[ ]#[ ]?\w{1,5}|,?[ ]\d{1,2}\.?[ºª°](?:[ ]?[A-Za-z])?(?![\w])|[ ]//[ ]?\w+)?"
@@ -140,7 +145,9 @@ def _named(learned: tuple[str, ...] = ()) -> re.Pattern:
     return re.compile(rf"(?<![\w@.'+-])(?:(?P<f1>{_FAMILY}),[ ](?:{_G})(?:[ ][A-Z]\.)?(?![\w'@-]|\.\w)|(?P<g2>{_G})(?:[ ][A-Z]\.){{0,2}}[ ](?P<f2>{_FAMILY})(?![\w@]|[.]\w))")
 
 _LEAD = r"(?:Interview with|Ask for|Referred by|Thanks again,|Thanks,|Regards,|cc:|Candidate:|Your contact is|Gespräch mit|Entretien avec|Candidature de|Bewerbung von|Gruß,|Grüße,|Un saludo,|Saludos,|Votre contact :|Ansprechperson ist|Tu contacto es|Candidatura de|Entrevista con|After lunch|Cordialement,|Merci,|Contact:|Kontakt:|Contacto:)[ \t]+(?:(?:Mrs?|Ms|Dr|Herr|Frau|Mme|M|Sr|Sra)\.?[ \t]+)?"
-_INITIAL = re.compile(rf"(?:(?<=\n)|(?<=\r)|^|(?<=[.!?:>✅📌•] )|(?<=[-*] )|(?P<lead>{_LEAD}))(?P<n>[^\W\d_a-zà-öø-ÿ]\.(?:[ ]?[A-Z]\.)?[ ](?P<f>{_FAMILY}))(?![\w@-]|\.\w)")
+_INITIAL = re.compile(rf"(?P<n>[^\W\d_a-zà-öø-ÿ]\.(?:[ ]?[A-Z]\.)?[ ](?P<f>{_FAMILY}))(?![\w@-]|\.\w)")
+_BEFORE = re.compile(r"(?:^|[\n\r]|[.!?:>✅📌•] |[-*] )$")
+_LEAD_END = re.compile(rf"{_LEAD}$")
 _LED = re.compile(rf"{_LEAD}(?P<n>(?P<a>{_FAMILY})(?P<sep>,?[ ])(?:[A-Z]\.[ ])?(?P<b>{_FAMILY}))(?![\w@-]|\.\w)")
 _INITIAL_LAST = re.compile(rf"{_LEAD}(?P<n>{_FAMILY},[ ][A-Z]\.)")
 _TITLED = re.compile(rf"(?<![\w.])(?:(?:Mrs?|Ms|Mx|Dr|Prof|Herr|Frau|Mme|Mlle|Sra?|Señora?)\.?|M\.)[ ](?:(?:Dr|Prof)\.[ ])?(?P<n>(?P<a>{_FAMILY})(?P<sep>[ ])(?:[A-Z]\.[ ])?(?P<b>{_FAMILY}))(?![\w@-]|\.\w)")
@@ -149,29 +156,41 @@ _FIRM = re.compile(r"[ ](?:[A-Z][\w'-]*[ ])?(?:Staffing|Consulting|Analytics|Sys
 
 
 def _emails(t: str):
-    for m in _AT.finditer(t):
-        d = _DOMAIN.match(t, m.end())
+    for m in _AT_SIGN.finditer(t):
+        a, b = m.span()
+        one = m.group() == "@"  # a bare sign has one space around it at most
+        while a and t[a - 1] in " \t" and (not one or a == m.start()):
+            a -= 1
+        while b < len(t) and t[b] in " \t" and (not one or b == m.end()):
+            b += 1
+        d = _DOMAIN.match(t, b)
         if d is None:
             continue
         wide = 120
         while True:  # the window grows until the local part begins well inside it
-            start = max(0, m.start() - wide)
-            loc = _LOCAL.search(t[start : m.start()])
-            if start == 0 or loc is None and not _LOCAL_END.search(t[start : m.start()]) or loc is not None and loc.start() > 40:
+            start = max(0, a - wide)
+            loc = _LOCAL.search(t[start:a])
+            if start == 0 or loc is None and not _LOCAL_END.search(t[start:a]) or loc is not None and loc.start() > 40:
                 break
             wide *= 4
         if loc is None or not re.search(r"[^\W_]", loc.group()):
             continue
-        if m.group().strip().isalpha() and "." in d.group() and not re.search(r"(?i)dot|punkt|punto|point|\.[a-z]", d.group()):
+        if m.group().isalpha() and "." in d.group() and not re.search(r"(?i)dot|punkt|punto|point|\.[a-z]", d.group()):
             continue
         yield start + loc.start(), d.end()
 
 
 def _ids(t: str):
-    for m in _ID_LABEL.finditer(t):
-        v = _ID_VALUE.match(t, m.end())
-        if v and sum(c.isdigit() for c in v.group()) >= 5:
-            yield v.span()
+    done = -1
+    for near in _FIVE.finditer(t):  # a label and its number stand in one line
+        if near.start() < done:
+            continue
+        begin, done = t.rfind("\n", 0, near.start()) + 1, t.find("\n", near.end())
+        done = len(t) if done < 0 else done
+        for m in _ID_LABEL.finditer(t, begin, done):
+            v = _ID_VALUE.match(t, m.end())
+            if v and sum(c.isdigit() for c in v.group()) >= 5:
+                yield v.span()
 
 
 def _phones(t: str):
@@ -180,7 +199,10 @@ def _phones(t: str):
         if 9 <= digits <= 15 and not _NOT_PHONE.search(t, max(0, m.start() - 24), m.start()):
             yield m.span()
     for m in _BARE_PHONE.finditer(t):
-        yield m.span(1)
+        label = t[: m.start()] if m.start() < 80 else t[t.rfind("\n", 0, m.start()) + 1 : m.start()]
+        label = label.rstrip(" \t")
+        if _BARE_LABEL.search(label[-24:]) or label.endswith(":") and _BARE_LABEL.search(label[:-1].rstrip(" \t")[-24:]):
+            yield m.span()
 
 
 def _addresses(t: str):
@@ -251,6 +273,18 @@ def learn(df: DataFrame, text_col: str = "text") -> tuple[str, ...]:
     return tuple(sorted(n for n in names if n.lower() not in words))
 
 
+def _initials(t: str):
+    """Initials with a family name where a line or sentence begins, or after a lead-in."""
+    at = 0
+    while m := _INITIAL.search(t, at):
+        before = t[max(0, m.start() - 64) : m.start()]
+        if _LEAD_END.search(before) or len(m["f"]) >= 4 and _BEFORE.search(before if before else ""):
+            yield m
+            at = m.end()
+        else:
+            at = m.start() + 1
+
+
 def _names(t: str, learned: tuple[str, ...] = ()):
     named = _named(learned)
     for m in named.finditer(t):
@@ -267,8 +301,8 @@ def _names(t: str, learned: tuple[str, ...] = ()):
     for m, _, _ in _told(t):
         yield m.span("n")
     for p in (_INITIAL, _LED, _INITIAL_LAST):
-        for m in p.finditer(t):
-            if p is _INITIAL and (m["f"].lower() in NOT_FAMILY or not m["lead"] and len(m["f"]) < 4) or _FIRM.match(t, m.end()):
+        for m in _initials(t) if p is _INITIAL else p.finditer(t):
+            if p is _INITIAL and m["f"].lower() in NOT_FAMILY or _FIRM.match(t, m.end()):
                 continue
             if p is _LED and (m["a"].lower() in NOT_FAMILY or m["b"].lower() in NOT_FAMILY):
                 continue
@@ -287,13 +321,15 @@ def find(text: str | None, learned: tuple[str, ...] = ()) -> list[tuple[str, int
     if not text:
         return []
     p = plain(text)
-    t, taken = p.text, []
+    t, taken, starts = p.text, [], []
     for kind, finder in _FINDERS.items():
         if not _MAY[kind].search(t):
             continue
         for a, b in finder(t, learned) if kind == "name" else finder(t):
-            if b > a and not any(a < y and x < b for _, x, y in taken):
-                taken.append((kind, a, b))
+            k = bisect_right(starts, a)  # passages don't overlap, so only the neighbours can
+            if b > a and not (k and taken[k - 1][2] > a) and not (k < len(taken) and taken[k][1] < b):
+                starts.insert(k, a)
+                taken.insert(k, (kind, a, b))
     return sorted(((k, *p.span(a, b, text)) for k, a, b in taken), key=lambda x: x[1:])
 
 
