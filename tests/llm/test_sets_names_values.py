@@ -77,6 +77,10 @@ def test_name_links(spark):
     got = {tuple(r) for r in names.name_links(a, b).collect()}
     assert got == {tuple(sorted(p)) for f in firms for p in combinations(sorted(set(f)), 2)}
     assert names.name_links(a.limit(0), b.limit(0)).count() == 0
+    chain = ["Terlvorsan Robotics", "Tarlvorsan Robotics", "Talrvorsan Robotics"]  # the last equals the second alone
+    short = ["Cox Foods", "Cox Foods Ltd."]
+    c = spark.createDataFrame([(n,) for n in chain + short], "canonical_company string")
+    assert {tuple(r) for r in names.name_links(c, b.limit(0)).collect()} == {tuple(sorted(p)) for f in (chain, short) for p in combinations(f, 2)}
 
 
 REF = [(1, "location", "Port Halden"), (2, "location", "Hybrid — Port Halden"), (3, "location", "Remote — Global"), (4, "seniority", "Senior"), (5, "skill", "Fraud Modeling"), (6, "skill", "Python"), (7, "skill", "Mozerbase"), (8, "location", "Saint-Évrard")]

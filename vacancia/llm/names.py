@@ -154,6 +154,8 @@ def blocks(words: list[str], line: str) -> list[tuple[str, str, str]]:
     out = set()
     for k, w in enumerate(words):
         rest = "".join(v[0] for i, v in enumerate(words) if i != k)[:1]
+        if 1 < len(w) < MIN_SUFFIX:  # a short word is indexed whole
+            out.add((w, line, rest))
         for i in range(0, max(1, len(w) - MIN_SUFFIX + 1)):
             if len(w) - i >= MIN_SUFFIX:
                 out.add((w[i:], line, rest))
@@ -174,21 +176,32 @@ def _index(batches):
 
 def _links():
     def run(batches):
-        """Rows sorted by block, the most frequent form first: links between a form and the leaders of its
-        block that it equals. A form that equals no leader is one; spellings lie around a frequent one."""
-        key, leaders, out = None, [], []
+        """Rows sorted by block, the most frequent form first: links between a form and the earlier ones of its
+        block that it equals. Those that earlier links have joined are one cluster, which is met once."""
+        key, forms, out = None, [], []
+        root: list[int] = []
+
+        def top(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
         for pdf in batches:
             for k, form, words, line in zip(pdf["block"], pdf["form"], pdf["words"], pdf["line"], strict=True):
                 if k != key:
-                    key, leaders = k, []
-                words = list(words)
-                met = False
-                for f, w, ln in leaders:
-                    if (ln == line or not ln or not line) and same_words(words, w):
+                    key, forms, root = k, [], []
+                words, own = list(words), len(forms)
+                met = set()
+                forms.append((form, words, line))
+                root.append(own)
+                for i, (f, w, ln) in enumerate(forms[:-1]):
+                    if (ln == line or not ln or not line) and top(i) not in met and same_words(words, w):
                         out.append((f, form, bool(ln) == bool(line)))
-                        met = met or ln == line
-                if not met:
-                    leaders.append((form, words, line))
+                        met.add(top(i))
+                        if ln == line:
+                            root[top(own)] = top(i)
+                            met.add(top(i))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b", "strong"])
                 out = []

@@ -36,6 +36,7 @@ _SEP = r"[ \t]"
 
 _ODD = re.compile(r"[^\x00-\x7f\u00a1-\u024f]")
 _COMBINED = re.compile(r"[^\W\d_][\u0300-\u036f]+")
+_MARKS, _OTHER_SCRIPTS = re.compile(r"[\u0300-\u036f]"), re.compile(r"[\u0370-\u03ff\u0400-\u04ff]")
 _INVISIBLE = re.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]+")
 _NUMBER_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"\b(?:{_NUMBER_WORD})(?:[ \-,]+(?:{_NUMBER_WORD})){{6,}}\b", re.I)
@@ -77,12 +78,14 @@ def plain(text: str) -> Plain:
     p = Plain(text)
     if "\xa0" in text or "\xad" in text or _ODD.search(text):
         p.sub(_INVISIBLE, lambda m: "")
-        p.sub(_COMBINED, lambda m: unicodedata.normalize("NFC", m.group()))
+        if _MARKS.search(text):
+            p.sub(_COMBINED, lambda m: unicodedata.normalize("NFC", m.group()))
         p.sub(re.compile(r"[\u00a0\u2000-\u200a\u202f\u205f\u3000]"), lambda m: " ")
         p.sub(re.compile(r"[\u2010-\u2012\u2212\ufe63\uff0d]"), lambda m: "-")
         p.sub(re.compile(r"[\u2018\u2019\u02bc]"), lambda m: "'")
         p.sub(re.compile(r"[\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\U0001d7ce-\U0001d7ff]"), lambda m: unicodedata.normalize("NFKC", m.group()) if m.group() not in "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹" else str(unicodedata.digit(m.group())))
-        p.sub(re.compile(r"(?=\w*[A-Za-z])\w*[\u0370-\u03ff\u0400-\u04ff]\w*"), lambda m: "".join(LOOKALIKE.get(c, c) for c in m.group()))
+        if _OTHER_SCRIPTS.search(p.text):
+            p.sub(re.compile(r"(?=\w*[A-Za-z])\w*[\u0370-\u03ff\u0400-\u04ff]\w*"), lambda m: "".join(LOOKALIKE.get(c, c) for c in m.group()))
     # Seven number words in a row: five of them at least stand free of other signs.
     if sum(map(SPELLED.__contains__, p.text.lower().replace("-", " ").replace(",", " ").split())) >= 5:
         p.sub(_SPELLED_RUN, lambda m: "".join(SPELLED[w] for w in re.findall(r"[^\W\d_]+", m.group().lower())))
@@ -228,6 +231,9 @@ def _told(t: str):
             parts = re.split(_DOT + "|[_-]", _AT.split(t[a:b], maxsplit=1)[0], flags=re.I)
             if len(parts) == 2 and all(len(_fold(x)) > 1 for x in parts):
                 locals_.add(tuple(map(_fold, parts)))
+    if locals_ and t.isascii():  # the names must stand outside the address too
+        low = t.lower()
+        locals_ = {x for x in locals_ if all(low.count(w) > 1 for w in x)}
     if locals_:
         for m in _PAIR.finditer(t):
             a, b = _fold(m["a"]), _fold(m["b"])

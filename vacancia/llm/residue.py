@@ -18,15 +18,15 @@ from .linear import TOKEN, Model, features, train
 
 #: Phrases of the weak labels, by kind.
 PHRASES = {
-    "placeholder": r"\{\{[^{}\n]*\}\}|\[\[\w+\]\]|\$?\{[A-Za-z_. ]{2,40}\}|\*\|\w+\|\*|@@\w+@@|<<\w+>>|<%=?[^%\n]*%>|%%?[A-Z][A-Z_]{2,}%%?|\[(?:insert|your|add|enter|company|job|name|city|date|todo|tbd)\b[^\]\n]*\]|\b[Xx]{4,}\b|#[A-Z][A-Z_]{2,}#|__[A-Z][A-Z_]+__|&lt;\w+&gt;|<[a-z]+_[a-z_]+>",
-    "filler": r"(?i)lorem ipsum|dolor sit amet|consectetur|eiusmod tempor|veniam quis|^(?:todo|tbd|tba|fixme)\b|description goes here|text goes here|placeholder copy|blah blah|sample text|dummy text|test test|asdf|qwerty|^\s*(?:undefined|null|nan|none|n/a)\s*$|\[object object\]|replace before publishing|to be filled|fill in later|wording to follow",
+    "placeholder": r"\{\{[^{}\n]*\}\}|\[\[\w+\]\]|\$?\{[A-Za-z_. ]{2,40}\}|\*\|\w+\|\*|@@\w+@@|<<\w+>>|<%=?[^%\n]*%>|%%?[A-Z][A-Z_]{2,}%%?|\{%[^%\n]*%\}|\[(?i:insert|your|add|enter|company|job|name|city|date|todo|tbd)\b[^\]\n]*\]|\b[Xx]{4,}\b|#[A-Z][A-Z_]{2,}#|__[A-Z][A-Z_]+__|&lt;\w+&gt;|<[a-z]+_[a-z_]+>",
+    "filler": r"(?i)lorem ipsum|dolor sit amet|consectetur|eiusmod tempor|veniam quis|\b(?:nostrud|ullamco|laboris|aliquip|incididunt|adipiscing|voluptate|excepteur|occaecat|cupidatat|deserunt|fugiat|pariatur|reprehenderit|exercitation|proident|mollit)\b|^(?:todo|tbd|tba|fixme)\b|description goes here|text goes here|placeholder copy|blah blah|sample text|dummy text|test test|asdf|qwerty|^\s*(?:undefined|null|nan|none|n/a)\s*$|\[object object\]|replace before publishing|to be filled|fill in later|wording to follow",
     "error": r"(?i)^(?:http |error |erreur |fehler |oops|uh.oh)?\W*\d{3}\b\W*(?:error|page|access|bad|internal|too many|service|forbidden|gateway|not found|$)|^(?:http|error|erreur|fehler)\s+\d{3}|^oops\W|^(?:page not found|access denied|bad gateway|internal server error|service (?:temporarily )?unavailable|too many requests|forbidden|gateway time-?out)|page introuvable|accès refusé|seite nicht gefunden|zugriff verweigert|no se encontró la página|acceso denegado|serverfehler ist aufgetreten|erreur est survenue|se produjo un error|zu viele anfragen|trop de requêtes|demasiadas solicitudes|we could not load|could not be loaded|^loading(?:…|\.)|^just a moment|page is gone|page has (?:moved|expired)",
     "script": r"(?i)enable javascript|javascript is (?:disabled|off|turned off|not enabled)|javascript in your browser|activer javascript|active javascript|javascript aktivieren|aktivieren sie javascript|requires scripts|exige les scripts|braucht skripte|requiere scripts|necesita scripts|blocked scripts|scripting is off|cookies must be allowed|verify (?:that )?you are (?:a )?human|unusual traffic|blocked by security|session has expired|log in again|captcha|checking your browser|are you a robot",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{v.replace('(?i)', '')})" if not v.startswith("(?i)") else f"(?P<{k}>(?i:{v[4:]}))" for k, v in PHRASES.items()), re.M)
 _CODE = re.compile(r"\W*\d{3}\b")
 #: In lower case, what a line must hold for any of the phrases to be in it.
-ANCHORS = ("{", "[", "*|", "@@", "<", "%", "#", "__", "&lt;", "xxxx", "ipsum", "dolor", "consectetur", "eiusmod", "veniam", "todo", "tbd", "tba", "fixme", "goes here", "placeholder", "blah", "sample text", "dummy text", "test test", "asdf", "qwerty", "undefined", "null", "nan", "none", "n/a", "replace before", "to be filled", "fill in", "wording to", "error", "erreur", "fehler", "oops", "http", "not found", "denied", "gateway", "server", "unavailable", "too many", "forbidden", "introuvable", "refus", "nicht gefunden", "verweigert", "acceso", "no se enc", "anfragen", "requêtes", "solicitudes", "could not", "loading", "just a moment", "gone", "page has", "script", "skripte", "captcha", "human", "traffic", "blocked", "expired", "cookies must", "log in", "robot", "checking")
+ANCHORS = ("{", "[", "*|", "@@", "<", "%", "#", "__", "&lt;", "xxxx", "ipsum", "dolor", "consectetur", "eiusmod", "veniam", "nostrud", "ullamco", "laboris", "aliquip", "incididunt", "adipiscing", "voluptate", "excepteur", "occaecat", "cupidatat", "deserunt", "fugiat", "pariatur", "reprehenderit", "exercitation", "proident", "mollit", "todo", "tbd", "tba", "fixme", "goes here", "placeholder", "blah", "sample text", "dummy text", "test test", "asdf", "qwerty", "undefined", "null", "nan", "none", "n/a", "replace before", "to be filled", "fill in", "wording to", "error", "erreur", "fehler", "oops", "http", "not found", "denied", "gateway", "server", "unavailable", "too many", "forbidden", "introuvable", "refus", "nicht gefunden", "verweigert", "acceso", "no se enc", "anfragen", "requêtes", "solicitudes", "could not", "loading", "just a moment", "gone", "page has", "script", "skripte", "captcha", "human", "traffic", "blocked", "expired", "cookies must", "log in", "robot", "checking")
 #: Tokens in a window, rows the classifier is fitted on, about, and the log odds from which a window counts.
 WINDOW, SAMPLE, LIMIT = 5, 12_000, 0.0
 #: Weight of a window with a phrase against one without.
