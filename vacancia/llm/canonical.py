@@ -293,6 +293,12 @@ class Reference:
         return [(i, rank) for rank, i in out]
 
 
+@lru_cache(maxsize=8)
+def _reference(field: str, entries: tuple[tuple[int, str], ...]) -> Reference:
+    """A worker's tree of a field, built once for all its tasks."""
+    return Reference(field, list(entries))
+
+
 #: Rank of a value that means no entry.
 NONE = (9, 0, 0)
 _SCHEMA = "field string, value string, r0 int, r1 int, r2 int, ref_id long"
@@ -325,12 +331,13 @@ def resolve_values(values: DataFrame, reference: DataFrame, shard: int = SHARD)
         for r in named.collect():
             entries.setdefault(r["field"], []).append((r["ref_id"], r["name"]))
 
+        whole = {f: tuple(v) for f, v in entries.items()}
+
         def run(batches):
-            trees = {f: Reference(f, v) for f, v in entries.items()}
             for pdf in batches:
                 for field, own in pdf.groupby("field", sort=False):
                     for lo in range(0, len(own), 5000):
-                        yield _resolved(field, own["value"].iloc[lo : lo + 5000].tolist(), trees.get(field))
+                        yield _resolved(field, own["value"].iloc[lo : lo + 5000].tolist(), _reference(field, whole[field]) if field in whole else None)
 
         return values.repartition(parallelism(spark), "value").mapInPandas(run, _SCHEMA).select("field", "value", "ref_id")
     shards = F.create_map(*[x for f, n in counts.items() for x in (F.lit(f), F.lit(max(1, -(-n // shard))))])
