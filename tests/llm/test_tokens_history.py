@@ -211,3 +211,23 @@ def test_edits_spread_over_a_text_hide_no_pair(spark):
         part = spark.createDataFrame([x for x in rows if x[1] == day + dt.timedelta(days=k)], "posting_id long, at timestamp_ntz, page string, text string")
         got |= {x["posting_id"] for x in store.accept(part).where("not accepted").collect()}
     assert got == near
+
+
+def shuffled(spark):
+    """Bytes that all stages so far wrote for shuffles."""
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_a_batch_shuffles_no_texts(spark):
+    r = random.Random(5)
+    rows = [(k, dt.datetime(2025, 1, 1), None, " ".join(f"{r.getrandbits(800):x}" for _ in range(60))) for k in range(150)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the tables were large
+    try:
+        before = shuffled(spark)
+        got = hs.History(spark).accept(spark.createDataFrame(rows, "posting_id long, at timestamp_ntz, page string, text string"))
+        assert got.where("accepted").count() == 150
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled(spark) - before < sum(len(x[3]) for x in rows) / 2
