@@ -10,7 +10,7 @@ import re
 import numpy as np
 import pytest
 
-from vacancia.llm import history as hs, packing, survivor as sv, tokens as tk
+from vacancia.llm import history as hs, packing, prints, survivor as sv, tokens as tk
 
 RANKS = tk.rank_file()
 needs_files = pytest.mark.skipif(not os.path.exists(RANKS), reason="no tokenizer files")
@@ -231,3 +231,12 @@ def test_a_batch_shuffles_no_texts(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert shuffled(spark) - before < sum(len(x[3]) for x in rows) / 2
+
+
+def test_the_order_counts_every_text(spark, monkeypatch):
+    monkeypatch.setattr(hs, "SAMPLE", 5, raising=False)
+    rows = [(k, dt.datetime(2025, 1, 1), None, " ".join(f"w{(k * j) % 97}" for j in range(40))) for k in range(1, 60)]
+    store = hs.History(spark)
+    store.accept(spark.createDataFrame(rows, "posting_id long, at timestamp_ntz, page string, text string"))
+    at, n = prints.slots(prints.shingles([x[3] for x in rows])[0])
+    assert (store.order.ranks == prints.Order.of_counts(at, n).ranks).all()
