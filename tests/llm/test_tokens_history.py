@@ -240,3 +240,44 @@ def test_the_order_counts_every_text(spark, monkeypatch):
     store.accept(spark.createDataFrame(rows, "posting_id long, at timestamp_ntz, page string, text string"))
     at, n = prints.slots(prints.shingles([x[3] for x in rows])[0])
     assert (store.order.ranks == prints.Order.of_counts(at, n).ranks).all()
+
+
+def met(ts, turns=1):
+    """Pairs of texts that meet at fingerprints, and how many were looked at for that."""
+    at, n = prints.slots(prints.shingles(ts)[0])
+    g, of = prints.shingles(ts)
+    looked, near, got = [], prints.Rows._near, set()
+    with pytest.MonkeyPatch.context() as p:
+        p.setattr(prints.Rows, "_near", lambda self, other, i, j: looked.append(len(i)) or near(self, other, i, j))
+        for _, b in prints.pack(np.arange(len(ts)), g, of, prints.Order.of_counts(at, n), 0.6):
+            for turn in [{"turn": (k, turns)} for k in range(turns)] if turns > 1 else [{}]:
+                for x, y, _ in prints.Rows([b], 0.6, **turn).own_pairs():
+                    got |= set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+    return got, sum(looked)
+
+
+def test_common_fingerprints_hide_no_pair(monkeypatch):
+    ts = [x[3] for seed in (11, 12) for x in texts(seed, 150)]
+    sets = prints.sets(ts)
+    near = {(a, b) for a, b in itertools.combinations(range(len(ts)), 2) if len(sets[a]) and len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b])) - 1e-9}
+    for common, turns in (((256, 256), 1), ((0, 256), 3), ((0, 0), 2), ((12, 30), 1)):
+        monkeypatch.setattr(prints, "COMMON", common, raising=False)
+        assert len(near) > 100 and near <= met(ts, turns)[0]
+
+
+def test_texts_of_one_template_are_not_all_compared():
+    def some(n):
+        r = random.Random(n)
+        pool = [[f"s{k}w{j}" for j in range(9)] for k in range(300)]
+        return [" ".join(w for s in r.sample(pool, 24) for w in s) for _ in range(n)]
+
+    assert met(some(2400))[1] < 700 * 2400  # 1,335 a text by single shingles, 490 where common ones go on
+
+
+def test_a_part_in_turns_equals_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(hs, "HELD", 300)
+    rows, day = texts(7, 120), dt.datetime(2025, 1, 5)
+    store, got = hs.History(spark), set()
+    for part in ([x for x in rows if x[1] < day], [x for x in rows if x[1] >= day]):
+        got |= {x["posting_id"] for x in store.accept(spark.createDataFrame(part, "posting_id long, at timestamp_ntz, page string, text string")).where("not accepted").collect()}
+    assert got == expected(rows)
